@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup, mixing
+from lodestar.llm import exact_dedup, html_text, mixing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
-    return {"op9_exact_dedup": exact_dedup.op9_exact_dedup, "op10_mixing": mixing.op10_mixing}
+    return {
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op4_pii": pii.op4_pii,
+        "op6_token_counts": token_counts.op6_token_counts,
+        "op7_quality": quality.op7_quality,
+        "op8_html": html_text.op8_html,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_mixing": mixing.op10_mixing,
+    }
 
 
 def oracle_sql() -> dict:
