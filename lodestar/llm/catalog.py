@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import exact_dedup, html_text, mixing, pii, quality, token_counts, toxicity
+from lodestar.llm import decontamination, exact_dedup, html_text, mixing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op4_pii": pii.op4_pii,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_quality": quality.op7_quality,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op3_decontamination": decontamination.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
