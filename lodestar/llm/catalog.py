@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, exact_dedup, html_text, mixing, pii, quality, token_counts, toxicity
+from lodestar.llm import decontamination, exact_dedup, html_text, mixing, ngram_join, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_pii": pii.op4_pii,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": decontamination.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op3_decontamination": decontamination.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -1,0 +1,28 @@
+"""Connected components of a link table by alternating label propagation and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.llm import common
+
+
+def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, label) for every end of a link (u, v); label is the least node of its component.
+
+    Labels only fall, so a repeated round changes nothing; each round is written to the shared folder, and
+    the driver sees one number a round. Hubs are pre-aggregated by the partial minimum.
+    """
+    both = common.written(links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(links.select("v", "u")).distinct(), "links")
+    labels = common.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    for _ in range(most_rounds):
+        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
+        lower = labels.join(heard, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        above = lower.select(F.col("node").alias("top"), F.col("label").alias("next"))
+        jumped = lower.join(above, F.col("label") == F.col("top")).select("node", "old", F.least("label", "next").alias("label"))
+        found = common.written(jumped, "labels")
+        labels = found.select("node", "label")
+        if found.where("label <> old").isEmpty():
+            return labels
+    raise RuntimeError("components did not settle")
