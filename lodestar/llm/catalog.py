@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, exact_dedup, html_text, mixing, ngram_join, pii, quality, token_counts, toxicity
+from lodestar.llm import decontamination, exact_dedup, html_text, mixing, ngram_join, pii, quality, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_pii": pii.op4_pii,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_quality": quality.op7_quality,
         "op8_html": html_text.op8_html,
