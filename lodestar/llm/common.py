@@ -48,3 +48,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions, which a cluster sizes with its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids that are broadcast at most; more are joined by shuffling.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, all its columns, without the rows whose doc_id is in gone (doc_id).
+
+    The ids are counted first; a bounded number is broadcast, so that texts don't move. Rows with a
+    null doc_id can't be told apart and stay.
+    """
+    ids = written(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == ids["__gone"], "left_anti")

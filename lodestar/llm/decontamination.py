@@ -124,8 +124,7 @@ def item_lists(found: DataFrame, item_windows: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents."""
-    gone = hits(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return common.without(docs, hits(docs, benchmark).where("contaminated"))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

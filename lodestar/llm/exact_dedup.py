@@ -61,8 +61,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row with a larger doc_id holds."""
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return common.without(docs, exact_groups(docs).where(~F.col("kept")))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -397,8 +397,7 @@ def joined(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with the document of the least doc_id of each component; rows with a null doc_id stay."""
-    gone = joined(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return common.without(docs, joined(docs).where("doc_id <> component_id"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -150,8 +150,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that the machine rejects."""
-    gone = scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return common.without(docs, scores(docs, labels).where("predicted = 1"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
