@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.terms import datatype, lexical, name
@@ -64,30 +64,32 @@ def disjoint_types() -> list[tuple[str, str]]:
     return sorted(apart)
 
 
+def lookup(table: dict, key: Column, of: str = "string") -> Column:
+    """table as a literal map; null for other keys."""
+    pairs = [F.lit(x).cast(t) for k, v in table.items() for x, t in ((k, "string"), (v, of))]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
 def family(term_datatype: Column) -> Column:
-    out = None
-    for f in dict.fromkeys(FAMILY.values()):
-        test = term_datatype.isin([d for d, g in FAMILY.items() if g == f])
-        out = F.when(test, f) if out is None else out.when(test, f)
-    return out
+    return lookup(FAMILY, term_datatype)
 
 
-def _integer(lex: Column, dt: Column) -> Column:
-    """Canonical digits if the form is valid and within the type's bounds."""
-    s = F.trim(lex)
-    digits = F.regexp_replace(F.regexp_replace(s, r"^[+-]", ""), r"^0+(?=[0-9])", "")
-    negative = s.startswith("-") & (digits != "0")
-    size = F.when(F.length(digits) <= 38, digits.try_cast("decimal(38,0)")).otherwise(F.lit("9" * 38).cast("decimal(38,0)"))
+LEAST = {name(f"xsd:{d}"): str(lo) for d, (lo, _) in BOUNDS.items() if lo is not None}
+GREATEST = {name(f"xsd:{d}"): str(hi) for d, (_, hi) in BOUNDS.items() if hi is not None}
+WIDE = "decimal(38,0)"
+
+
+def _digits(lex: Column) -> Column:
+    return F.regexp_replace(F.trim(lex), r"^[+-]?0*(?=[0-9])", "")
+
+
+def _integer(lex: Column, digits: Column, dt: Column) -> Column:
+    """Canonical digits if the form is valid and within the type's bounds; beyond 38 digits the sign decides."""
+    negative = F.trim(lex).startswith("-") & (digits != "0")
+    size = F.when(F.length(digits) <= 38, digits.try_cast(WIDE)).otherwise(F.lit("9" * 38).cast(WIDE))
     value = F.when(negative, -size).otherwise(size)
-    fits = None
-    for d, (lo, hi) in BOUNDS.items():
-        ok = F.lit(True)
-        if lo is not None:
-            ok = ok & (value >= F.lit(str(lo)).cast("decimal(38,0)"))
-        if hi is not None:
-            ok = ok & (value <= F.lit(str(hi)).cast("decimal(38,0)"))
-        fits = F.when(dt == name(f"xsd:{d}"), ok) if fits is None else fits.when(dt == name(f"xsd:{d}"), ok)
-    return F.when(s.rlike(r"^[+-]?[0-9]+$") & fits.otherwise(F.lit(True)), F.concat(F.when(negative, "-").otherwise(""), digits))
+    fits = F.coalesce(value >= lookup(LEAST, dt, WIDE), F.lit(True)) & F.coalesce(value <= lookup(GREATEST, dt, WIDE), F.lit(True))
+    return F.when(F.trim(lex).rlike(r"^[+-]?[0-9]+$") & fits, F.concat(F.when(negative, "-").otherwise(""), digits))
 
 
 def _float(lex: Column) -> Column:
@@ -97,22 +99,18 @@ def _float(lex: Column) -> Column:
     return F.when(s.isin("INF", "+INF"), "INF").when(s == "-INF", "-INF").when(s == "NaN", "NaN").otherwise(finite)
 
 
+KIND = {d: KINDS.get(f, f) for d, f in FAMILY.items() if f not in UNPARSED}
+
+
 def kind_of(term: Column) -> Column:
     """The name under which a literal's values are compared, whether or not the form is valid."""
-    f = family(datatype(term))
-    out = None
-    for a, b in KINDS.items():
-        out = F.when(f == a, b) if out is None else out.when(f == a, b)
-    return F.when(~f.isin(*UNPARSED), out.otherwise(f))
+    return lookup(KIND, datatype(term))
 
 
-def canonical(term: Column) -> Column:
-    """A string that is equal for equal values of one kind; null if the form is invalid or the type unknown."""
-    dt, lex = datatype(term), lexical(term)
-    f = family(dt)
+def _canonical(lex: Column, dt: Column, f: Column, digits: Column) -> Column:
     decimal = F.regexp_replace(F.trim(lex), r"^\+", "")
     return (
-        F.when(f == "integer", _integer(lex, dt))
+        F.when(f == "integer", _integer(lex, digits, dt))
         .when(f == "decimal", F.when(decimal.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), decimal))
         .when(f.isin("float", "double"), _float(lex))
         .when(f == "boolean", F.when(lex.isin("true", "1"), "true").when(lex.isin("false", "0"), "false"))
@@ -122,6 +120,24 @@ def canonical(term: Column) -> Column:
     )
 
 
+def canonical(term: Column) -> Column:
+    """A string that is equal for equal values of one kind; null if the form is invalid or the type unknown."""
+    lex, dt = lexical(term), datatype(term)
+    return _canonical(lex, dt, family(dt), _digits(lex))
+
+
+def with_values(df: DataFrame, term: str) -> DataFrame:
+    """The rows of df whose term is a well-typed literal, with its dt, lex, kind and canon.
+
+    Each step is a column of its own, so that no expression is repeated in the generated code; the last
+    step generates rows rather than filtering them, which keeps the filter from being pushed through the steps.
+    """
+    d = df.where(F.col(term).startswith('"')).withColumns({"dt": datatype(F.col(term)), "lex": lexical(F.col(term))})
+    d = d.withColumns({"__f": family(F.col("dt")), "kind": lookup(KIND, F.col("dt")), "__digits": _digits(F.col("lex"))})
+    d = d.withColumn("__canon", _canonical(*map(F.col, ("lex", "dt", "__f", "__digits"))))
+    return d.select(*df.columns, "dt", "lex", "kind", F.explode(F.when(F.col("__canon").isNotNull(), F.array("__canon"))).alias("canon"))
+
+
 def values_equal(a: Column, b: Column) -> Column:
     """True or false for values of one kind; null where they can't be compared."""
     return F.when(kind_of(a) == kind_of(b), canonical(a) == canonical(b))

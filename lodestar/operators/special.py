@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import xsd
-from lodestar.functions.terms import DIFFERENT, FALSE, NIL, SAME, TYPE, datatype, is_literal, lexical, name
+from lodestar.functions.terms import DIFFERENT, FALSE, SAME, TYPE, is_literal, lexical, name
 from lodestar.operators.match import PREMISES
 
 CHAIN, KEY, INTERSECTION = (name(f"owl:{p}") for p in ("propertyChainAxiom", "hasKey", "intersectionOf"))
@@ -79,22 +79,22 @@ def intersections(t: DataFrame, lists: DataFrame) -> DataFrame:
 
 def literal_types(t: DataFrame, lists: DataFrame) -> DataFrame:
     """dt-type2."""
-    good = t.where(is_literal(F.col("o")) & xsd.canonical(F.col("o")).isNotNull())
-    return result(good, F.col("o"), TYPE, datatype(F.col("o")), triple(F.col("s"), F.col("p"), F.col("o")))
+    good = xsd.with_values(t, "o")
+    return result(good, F.col("o"), TYPE, F.col("dt"), triple(F.col("s"), F.col("p"), F.col("o")))
 
 
 def literal_clashes(t: DataFrame, lists: DataFrame) -> DataFrame:
     """dt-not-type: the 1,400 or so disjoint pairs are a relation of fixed size."""
     apart = t.sparkSession.createDataFrame(xsd.disjoint_types(), "d1 string, d2 string")
-    used = t.where(is_literal(F.col("o")) & xsd.canonical(F.col("o")).isNotNull()).select("s", "p", "o", datatype(F.col("o")).alias("d1"))
+    used = xsd.with_values(t, "o").select("s", "p", "o", F.col("dt").alias("d1"))
     typed = t.where(is_literal(F.col("s")) & (F.col("p") == TYPE)).select(F.col("s").alias("lit"), F.col("o").alias("d2"))
     met = used.join(typed, used["o"] == typed["lit"]).join(F.broadcast(apart), ["d1", "d2"])
     return result(met, *FALSE, triple(F.col("s"), F.col("p"), F.col("o")), triple(F.col("lit"), TYPE, F.col("d1")), triple(F.col("lit"), TYPE, F.col("d2")))
 
 
 def _typed_literals(t: DataFrame) -> DataFrame:
-    typed = t.where(is_literal(F.col("s")) & (F.col("p") == TYPE)).groupBy(F.col("s").alias("lit")).agg(F.min("o").alias("dt"))
-    return typed.select("lit", "dt", lexical(F.col("lit")).alias("lex"), xsd.kind_of(F.col("lit")).alias("kind"), xsd.canonical(F.col("lit")).alias("canon")).where("canon IS NOT NULL")
+    typed = t.where(is_literal(F.col("s")) & (F.col("p") == TYPE)).groupBy(F.col("s").alias("lit")).agg(F.min("o").alias("type"))
+    return xsd.with_values(typed, "lit").select("lit", F.col("type").alias("dt"), "lex", "kind", "canon")
 
 
 def _literal_pairs(t: DataFrame, on: list[str]) -> DataFrame:

@@ -26,8 +26,6 @@ from lodestar.sources.shared import written
 TRIPLES = "s string, p string, o string"
 DERIVED = f"{TRIPLES}, rule string, round int, premises {match.PREMISES}"
 KEY = ["s", "p", "o"]
-#: Table parts that are merged into one when there are more.
-MOST_PARTS = 6
 
 
 @dataclass(frozen=True)
@@ -119,10 +117,10 @@ class Reasoner:
         seeds = written(self._seeds(quads, source_graphs), "seeds")
         new = seeds.select(*KEY)
         lists = collections.list_table(new) if any(a.is_list for c in self.clauses for a in c.body) or self.specials else self.spark.createDataFrame([], collections.SCHEMA)
-        old, parts, derived = None, [new], []
+        old, parts, derived = None, [(new, seeds.count())], []
         present: set[str] = set()
         for number in range(1, self.most_rounds + 1):
-            every = reduce(DataFrame.unionByName, parts)
+            every = reduce(DataFrame.unionByName, (d for d, _ in parts))
             fresh = self._present(new)
             present |= fresh
             found = self._candidates(old, new, every, lists, present, fresh, premises)
@@ -134,14 +132,15 @@ class Reasoner:
             else:
                 best = union.distinct()
             added = written(best.join(every, KEY, "left_anti"), "round")
-            if added.isEmpty():
+            size = added.count()
+            if not size:
                 break
             derived.append(added)
             new, old = added.select(*KEY), every
-            parts.append(new)
-            if len(parts) > MOST_PARTS:
-                parts = [written(reduce(DataFrame.unionByName, parts), "triples")]
-                old = parts[0].join(new, KEY, "left_anti")
+            parts.append((new, size))
+            while len(parts) > 1 and 2 * parts[-1][1] >= parts[-2][1]:  # parts shrink by half, so there are few
+                (a, m), (b, n) = parts[-2:]
+                parts[-2:] = [(written(a.unionByName(b), "triples"), m + n)]
             if stop_when is not None and not new.where(stop_when).isEmpty():
                 break
         else:
