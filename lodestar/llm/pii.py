@@ -70,6 +70,10 @@ _EDGE_L, _EDGE_R = r"(?<![^\W_])", r"(?![^\W_])"
 #: Two digits or more in a row, one of them spelled, with single spaces, hyphens or commas between.
 DIGITS = re.compile(rf"{_EDGE_L}(?:(?:{_WORD}){_EDGE_R}|[0-9](?=[ ,-]{{1,2}}(?:{_WORD}){_EDGE_R}))(?:[ ,-]{{1,2}}(?:(?:{_WORD})|[0-9]){_EDGE_R})+", re.I)
 DIGIT = re.compile(rf"{_WORD}|[0-9]", re.I)
+#: A single spelled digit counts next to a spelled dot.
+DOTTED = re.compile(rf"(?<=\bdot )(?:{_WORD}){_EDGE_R}|{_EDGE_L}(?:{_WORD})(?= dot )", re.I)
+#: Letters that stand in for digits between digits.
+FALSE_DIGITS = re.compile(r"(?<=[0-9])[OolI]{1,3}(?=[0-9])")
 PLUS = re.compile(rf"{_EDGE_L}plus[ ]+(?=[0-9])", re.I)
 #: at and dot in brackets, with or without spaces around.
 AT = re.compile(r"\s{0,3}(?:\(\s?(?:at|@|ät|arroba|arobase)\s?\)|\[\s?(?:at|@|ät|arroba|arobase)\s?\]|\{\s?(?:at|@|ät|arroba|arobase)\s?\}|<\s?(?:at|@)\s?>)\s{0,3}", re.I)
@@ -77,6 +81,9 @@ DOT = re.compile(r"\s{0,3}(?:\(\s?(?:dot|\.|punkt|punto|point)\s?\)|\[\s?(?:dot|
 #: Bare words count only between what can be parts of an address, and "at" only with a spelled dot after it.
 BARE_DOT = re.compile(r"(?<=[A-Za-z0-9]) (?:dot|punkt|punto) (?=[A-Za-z0-9])", re.I)
 BARE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-]) (?:at|arroba|arobase|ät) (?=[A-Za-z0-9-]+(?: (?:dot|punkt|punto) (?!dot|punkt|punto)| ?[\[({<]\s?(?:dot|\.|punkt|punto|point)))", re.I)
+#: Before a plain domain, "at" needs a word that reads like an address: a letter first, then a sign or digit.
+LIKE_AT = re.compile(r"(?<![^\s(<\[\"',;:])([A-Za-z][A-Za-z0-9._%+-]*+)( at )(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[a-z]{2,6}\b)")
+SIGN = re.compile(r"[0-9._%+-][A-Za-z0-9]|[0-9]$")
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-]) ?@ ?(?=[A-Za-z0-9-]+(?:\.| dot | ?[\[({<]\s?(?:dot|\.)))", re.I)
 HINT = re.compile(rf"{_EDGE_L}(?:dot|punkt|punto){_EDGE_R}|[\[({{<]\s?(?:at|@|ät|arroba|arobase|\.)\s?[\])}}>]| @|@ ", re.I)
 
@@ -175,9 +182,14 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     if not text.isascii() and ODD.search(text):
         # Single odd letters inside words of another script change nothing that the patterns need.
         tape.rewrite([(m.start(), m.end(), ALIKE.get(m[0], "")) for m in ODD.finditer(text)])
+    if " dot " in tape.text.lower():
+        tape.rewrite([(m.start(), m.end(), SPELLED[m[0].lower()]) for m in DOTTED.finditer(tape.text)])
     tape.rewrite(digit_edits(tape.text))
-    if tape.starts is not None:
+    tape.rewrite([(m.start() + i, m.start() + i + 1, "0" if c in "Oo" else "1") for m in FALSE_DIGITS.finditer(tape.text) for i, c in enumerate(m[0])])
+    if "plus" in tape.text.lower():
         tape.sub(PLUS, "+")
+    if " at " in tape.text:
+        tape.rewrite([(*m.span(2), "@") for m in LIKE_AT.finditer(tape.text) if SIGN.search(m[1])])
     if HINT.search(tape.text):
         for pattern, new in ((BARE_AT, "@"), (AT, "@"), (SPACED_AT, "@"), (DOT, "."), (BARE_DOT, ".")):
             tape.sub(pattern, new)
