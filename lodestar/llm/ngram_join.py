@@ -8,11 +8,11 @@ schemes of its own band and of those that a larger partner may be in.
 
 Signatures are grouped by hash. Equal sets are one node throughout, so copies cost nothing. In a group of at most
 SMALL nodes every pair is a candidate, and pairs with too few shared signatures are dropped by the
-same bound. A larger group is hot: it is never expanded into pairs. Its nodes are compared with its least
-node, links found so far are closed to components, and a group within one component is settled. A
-node in at most as many unsettled groups as its empty parts leave slack can't have lost a link. The rest, if
-any, meet again by an exact prefix filter: linked sets share one of their s - ceil(3s/4) + 1 rarest
-shingles. Candidates are verified on the whole sets. The result is exact up to collisions of 64-bit hashes.
+same bound. A larger group is hot: it is never expanded into pairs. It counts for its nodes' pairs with its
+least node only; links found so far are closed to components, and a group within one component is settled. A
+pair's shared signatures that were not counted lie in unsettled groups of both, so pairs that could have enough with
+those are verified too. Nodes in more unsettled groups than their empty parts leave slack may share hot signatures
+alone; they meet again by an exact prefix filter: linked sets share one of their s - ceil(3s/4) + 1 rarest shingles. Candidates are verified on the whole sets. The result is exact up to collisions of 64-bit hashes.
 
 Defined results: texts without words (null, empty, blank) have empty sets, link with nothing and are their own
 component. Texts of one to four words have one shingle. A null doc_id never names a component unless it is alone.
@@ -305,10 +305,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in each], pa.int64()), pa.array([s.tobytes() for s in each], pa.binary())], ["node", "elements"])
 
     texts = common.texts(docs).fillna({"doc_id": NO_ID})
-    near = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi")
-    # A null id may stand for several texts: keep what was asked for.
-    found = near.mapInArrow(run, "node long, elements binary").join(wanted.select("node"), "node", "left_semi")
-    return common.written(found.dropDuplicates(["node"]), "sets")
+    # An id that stands for several texts gives sets that no one asked for, or one set twice: links are made distinct.
+    return common.written(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "node long, elements binary"), "sets")
 
 
 def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -340,7 +338,7 @@ def rare_meetings(docs: DataFrame, heavy: DataFrame) -> DataFrame:
             each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("elements")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(each, pa.list_(pa.int64()))], ["node", "elements"])
 
-    every = sets_of(docs, heavy).mapInArrow(split, "node long, elements array<long>").select("node", F.size("elements").alias("size"), F.explode("elements").alias("x"))
+    every = sets_of(docs, heavy).dropDuplicates(["node"]).join(heavy.select("node"), "node", "left_semi").select("node", "elements").mapInArrow(split, "node long, elements array<long>").select("node", F.size("elements").alias("size"), F.explode("elements").alias("x"))
     held = every.groupBy("x").count().where("count > 1")
     by_rarity = W.partitionBy("node").orderBy("count", "x")
     ranked = every.join(held, "x", "left").fillna(1, ["count"]).select("node", "size", "x", "count", F.row_number().over(by_rarity).alias("place"))
@@ -360,25 +358,35 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = rows.where(f"kind = {NODE}").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), F.col("m").alias("slack"))
     nodes = common.written(members.where("node <> 0").groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID)).alias("rep"), F.min("slack").alias("slack"), F.max("n_shingles").alias("size")), "nodes")
     hot = rows.where(f"kind = {HOT}").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
-    warm = hot.groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
-    facts = nodes.join(warm, "node", "left").select("node", "slack", "size", F.coalesce("hot", F.lit(0)).alias("hot"))
-    pairs = rows.where(f"kind = {PAIR}").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("n").alias("shared"))
+    # Shared signatures: those of small groups, and all that were seen, stars of hot groups included.
+    seen = rows.where(f"kind IN ({PAIR}, {STAR})").groupBy(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = seen.agg(F.sum("n").alias("small"), F.sum(F.greatest("n", F.lit(1))).alias("total"))
     for e in ("u", "v"):
-        pairs = pairs.join(facts.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("slack", "size", "hot"))), e)
-    enough = "shared + least(hot_u, hot_v) >= 1 + greatest(slack_u, slack_v) AND 4 * least(size_u, size_v) >= 3 * greatest(size_u, size_v)"
-    stars = rows.where(f"kind = {STAR}").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    edges = common.written(pairs.where(enough).select("u", "v").unionByName(stars).distinct(), "edges")
-    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
-    links = common.written(verified(edges, sets_of(docs, wanted)), "verified")
+        pairs = pairs.join(nodes.select(F.col("node").alias(e), F.col("slack").alias(f"slack_{e}"), F.col("size").alias(f"size_{e}")), e)
+    near = pairs.where("4 * least(size_u, size_v) >= 3 * greatest(size_u, size_v)")
+    pairs = common.written(near.select("u", "v", "small", "total", F.expr("1 + greatest(slack_u, slack_v)").alias("need")), "pairs")
+
+    def ends(edges: DataFrame) -> DataFrame:
+        return edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
+
+    edges = common.written(pairs.where("total >= need").select("u", "v"), "edges")
+    links = common.written(verified(edges, sets_of(docs, ends(edges))).distinct(), "verified")
     labels = components.components(links)
+    # A linked pair that has not met enough misses signatures of hot groups. Groups within a component are settled.
     placed = hot.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
-    unsettled = hot.join(mixed, "grp", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("open"))
+    unsettled = common.written(hot.join(mixed, "grp", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("open")), "unsettled")
+    weak = pairs.where("total < need AND small > 0")
+    for e in ("u", "v"):
+        weak = weak.join(unsettled.select(F.col("node").alias(e), F.col("open").alias(f"open_{e}")), e)
+        weak = weak.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")), e, "left")
+    weak = weak.where("small + least(open_u, open_v) >= need AND coalesce(label_u, u) <> coalesce(label_v, v)").select("u", "v")
     heavy = common.written(nodes.join(unsettled, "node", "left").where("coalesce(open, 0) > slack").select("node", "rep", "size"), "heavy")
     if not heavy.isEmpty():
-        more = common.written(rare_meetings(docs, heavy), "meetings")
-        ends = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
-        links = common.written(links.unionByName(verified(more, sets_of(docs, ends))).distinct(), "verified")
+        weak = weak.unionByName(rare_meetings(docs, heavy))
+    more = common.written(weak.distinct(), "meetings")
+    if not more.isEmpty():
+        links = common.written(links.unionByName(verified(more, sets_of(docs, ends(more)))).distinct(), "verified")
         labels = components.components(links)
     lone = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = lone.groupBy(F.col("label").alias("of")).agg(F.coalesce(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))), F.lit(NO_ID)).alias("component_id"))
