@@ -34,14 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
 
-    The files survive the loss of executors; the owner of the shared folder clears it.
+    The files survive the loss of executors; the owner of the shared folder clears it. batch: rows that go
+    to a Python worker at once, where rows are large and the session allows more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(BATCH)
+    if batch is not None:
+        spark.conf.set(BATCH, str(min(batch, int(usual)) if int(usual) > 0 else batch))
+    try:
+        # Planned under the setting: a plan made before keeps the session's own.
+        (df.select("*") if batch is not None else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,9 +37,11 @@ from lodestar.llm import common, components, shingles
 #: Largest group that is expanded into pairs.
 SMALL = 8
 #: Signatures that a worker gathers before it sends them on.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Buckets of signatures for each shuffle partition.
-FINE = 4
+FINE = 2
+#: Rows in an Arrow batch: texts, or pairs of whole sets.
+BATCH = 1000
 BROADCAST_ROWS = 500_000
 NO_ID = -(1 << 63)
 PAIR, STAR, HOT, NODE = range(4)
@@ -306,7 +308,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = common.texts(docs).fillna({"doc_id": NO_ID})
     # An id that stands for several texts gives sets that no one asked for, or one set twice: links are made distinct.
-    return common.written(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "node long, elements binary"), "sets")
+    return common.written(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "node long, elements binary"), "sets", BATCH)
 
 
 def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -342,7 +344,7 @@ def rare_meetings(docs: DataFrame, heavy: DataFrame) -> DataFrame:
     held = every.groupBy("x").count().where("count > 1")
     by_rarity = W.partitionBy("node").orderBy("count", "x")
     ranked = every.join(held, "x", "left").fillna(1, ["count"]).select("node", "size", "x", "count", F.row_number().over(by_rarity).alias("place"))
-    prefix = common.written(ranked.where("place <= size - ceil(0.75 * size) + 1 AND count > 1").select("node", "size", "x"), "prefix")
+    prefix = common.written(ranked.where("place <= size - ceil(0.75 * size) + 1 AND count > 1").select("node", "size", "x"), "prefix", BATCH)
     a = prefix.select(F.col("node").alias("u"), F.col("size").alias("su"), "x")
     b = prefix.select(F.col("node").alias("v"), F.col("size").alias("sv"), "x")
     return a.join(b, "x").where("u < v AND 4 * least(su, sv) >= 3 * greatest(su, sv)").select("u", "v").distinct()
@@ -354,7 +356,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = common.partitions(spark)
     buckets = FINE * parts
     sent = common.texts(docs).mapInArrow(send(buckets), "bucket int, kind int, data binary")
-    rows = common.written(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive(buckets), ROWS), "signatures")
+    rows = common.written(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive(buckets), ROWS), "signatures", BATCH)
     members = rows.where(f"kind = {NODE}").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), F.col("m").alias("slack"))
     nodes = common.written(members.where("node <> 0").groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID)).alias("rep"), F.min("slack").alias("slack"), F.max("n_shingles").alias("size")), "nodes")
     hot = rows.where(f"kind = {HOT}").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
@@ -370,7 +372,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
 
     edges = common.written(pairs.where("total >= need").select("u", "v"), "edges")
-    links = common.written(verified(edges, sets_of(docs, ends(edges))).distinct(), "verified")
+    links = common.written(verified(edges, sets_of(docs, ends(edges))).distinct(), "verified", BATCH)
     labels = components.components(links)
     # A linked pair that has not met enough misses signatures of hot groups. Groups within a component are settled.
     placed = hot.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
@@ -386,7 +388,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         weak = weak.unionByName(rare_meetings(docs, heavy))
     more = common.written(weak.distinct(), "meetings")
     if not more.isEmpty():
-        links = common.written(links.unionByName(verified(more, sets_of(docs, ends(more)))).distinct(), "verified")
+        links = common.written(links.unionByName(verified(more, sets_of(docs, ends(more)))).distinct(), "verified", BATCH)
         labels = components.components(links)
     lone = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = lone.groupBy(F.col("label").alias("of")).agg(F.coalesce(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))), F.lit(NO_ID)).alias("component_id"))
