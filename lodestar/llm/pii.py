@@ -26,6 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A failing start within a digit run fails at all its later digits too, and a match ends a run.
+IP_HINT = re.compile(r"[0-9]\.[0-9]")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -64,16 +65,19 @@ def _alike() -> dict[str, str]:
 
 
 ALIKE = _alike()
-ODD = re.compile("[" + "".join(map(re.escape, [*ALIKE, *INVISIBLE])) + "]")
+#: No character that ALIKE or INVISIBLE has is among these, but for the soft hyphen.
+PLAIN_ONLY = re.compile("[^\\x00-\\x9f\\xa1-\\xac\\xae-\\u024f]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _EDGE_L, _EDGE_R = r"(?<![^\W_])", r"(?![^\W_])"
 #: Two digits or more in a row, one of them spelled, with single spaces, hyphens or commas between.
 DIGITS = re.compile(rf"{_EDGE_L}(?:(?:{_WORD}){_EDGE_R}|[0-9](?=[ ,-]{{1,2}}(?:{_WORD}){_EDGE_R}))(?:[ ,-]{{1,2}}(?:(?:{_WORD})|[0-9]){_EDGE_R})+", re.I)
+#: A quick look at the lower-cased text: what DIGITS needs at least. It starts with letters, which the search skips to.
+DIGITS_HINT = re.compile(rf"(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9])|[0-9][ ,-]{{1,2}}(?:{_WORD})")
 DIGIT = re.compile(rf"{_WORD}|[0-9]", re.I)
 #: A single spelled digit counts next to a spelled dot.
 DOTTED = re.compile(rf"(?<=\bdot )(?:{_WORD}){_EDGE_R}|{_EDGE_L}(?:{_WORD})(?= dot )", re.I)
 #: Letters that stand in for digits between digits.
-FALSE_DIGITS = re.compile(r"(?<=[0-9])[OolI]{1,3}(?=[0-9])")
+FALSE_DIGITS = re.compile(r"[0-9][OolI]{1,3}(?=[0-9])")
 PLUS = re.compile(rf"{_EDGE_L}plus[ ]+(?=[0-9])", re.I)
 #: at and dot in brackets, with or without spaces around.
 AT = re.compile(r"\s{0,3}(?:\(\s?(?:at|@|ät|arroba|arobase)\s?\)|\[\s?(?:at|@|ät|arroba|arobase)\s?\]|\{\s?(?:at|@|ät|arroba|arobase)\s?\}|<\s?(?:at|@)\s?>)\s{0,3}", re.I)
@@ -88,6 +92,10 @@ SPACED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-]) ?@ ?(?=[A-Za-z0-9-]+(?:\.| dot | ?
 HINT = re.compile(rf"{_EDGE_L}(?:dot|punkt|punto){_EDGE_R}|[\[({{<]\s?(?:at|@|ät|arroba|arobase|\.)\s?[\])}}>]| @|@ ", re.I)
 
 
+SPELLED_DOTS = (" dot ", " punkt ", " punto ")
+BRACKETS = ("[", "(", "{", "<", " @", "@ ")
+
+
 def luhn(digits: str) -> bool:
     total = sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
     return total % 10 == 0
@@ -111,7 +119,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the four patterns, in order."""
     found = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
-    for m in IP.finditer(text):
+    for m in IP.finditer(text) if IP_HINT.search(text) else ():
         if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
             found.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
@@ -179,18 +187,21 @@ def digit_edits(text: str) -> list[tuple[int, int, str]]:
 def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that only the rewritten text shows, in source offsets."""
     tape = Tape(text)
-    if not text.isascii() and ODD.search(text):
-        # Single odd letters inside words of another script change nothing that the patterns need.
-        tape.rewrite([(m.start(), m.end(), ALIKE.get(m[0], "")) for m in ODD.finditer(text)])
-    if " dot " in tape.text.lower():
+    if not text.isascii() and PLAIN_ONLY.search(text):
+        # One for one where a character has a look-alike, none for the invisible.
+        tape.rewrite([(i, i + 1, ALIKE.get(c, "")) for i, c in enumerate(text) if c in ALIKE or c in INVISIBLE])
+    low = tape.text.lower()
+    dots = any(x in low for x in SPELLED_DOTS)
+    if dots:
         tape.rewrite([(m.start(), m.end(), SPELLED[m[0].lower()]) for m in DOTTED.finditer(tape.text)])
-    tape.rewrite(digit_edits(tape.text))
-    tape.rewrite([(m.start() + i, m.start() + i + 1, "0" if c in "Oo" else "1") for m in FALSE_DIGITS.finditer(tape.text) for i, c in enumerate(m[0])])
-    if "plus" in tape.text.lower():
+    if dots or not SPELLED.keys().isdisjoint(low.replace(",", " ").replace("-", " ").split()) and DIGITS_HINT.search(low):
+        tape.rewrite(digit_edits(tape.text))
+    tape.rewrite([(i, i + 1, "0" if tape.text[i] in "Oo" else "1") for m in FALSE_DIGITS.finditer(tape.text) for i in range(m.start() + 1, m.end())])
+    if "plus" in low:
         tape.sub(PLUS, "+")
     if " at " in tape.text:
         tape.rewrite([(*m.span(2), "@") for m in LIKE_AT.finditer(tape.text) if SIGN.search(m[1])])
-    if HINT.search(tape.text):
+    if (dots or any(x in tape.text for x in BRACKETS)) and HINT.search(tape.text):
         for pattern, new in ((BARE_AT, "@"), (AT, "@"), (SPACED_AT, "@"), (DOT, "."), (BARE_DOT, ".")):
             tape.sub(pattern, new)
     if tape.starts is None:
