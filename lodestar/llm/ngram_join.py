@@ -121,43 +121,44 @@ def signatures(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return sig[full], owner[of[full]], left
 
 
-def pack(sig: np.ndarray, node: np.ndarray) -> bytes:
-    """The low 40 bits of each signature, and nodes by a dictionary; planes of bytes compress."""
-    names, index = np.unique(node, return_inverse=True)
+def pack(sig: np.ndarray, node: np.ndarray, slack: np.ndarray) -> bytes:
+    """The low 40 bits of each signature, and nodes with their slack by a dictionary; planes of bytes compress."""
+    names, first, index = np.unique(node, return_index=True, return_inverse=True)
     wide = np.uint32 if len(names) > 65535 else np.uint16
-    return b"".join((np.array([len(sig), len(names)], np.int64).tobytes(), sig.astype(np.uint32).tobytes(), (sig >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(wide).tobytes(), names.tobytes()))
+    return b"".join((np.array([len(sig), len(names)], np.int64).tobytes(), sig.astype(np.uint32).tobytes(), (sig >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(wide).tobytes(), names.tobytes(), slack[first].astype(np.int16).tobytes()))
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, k = np.frombuffer(blob, np.int64, 2)
     low = np.frombuffer(blob, np.uint32, n, 16).astype(np.uint64)
     high = np.frombuffer(blob, np.uint8, n, 16 + 4 * n).astype(np.uint64)
     wide = np.uint32 if k > 65535 else np.uint16
     index = np.frombuffer(blob, wide, n, 16 + 5 * n)
-    names = np.frombuffer(blob, np.int64, k, 16 + 5 * n + wide().itemsize * n)
-    return low | high << np.uint64(32), names[index]
+    at = 16 + 5 * n + wide().itemsize * n
+    names, slack = np.frombuffer(blob, np.int64, k, at), np.frombuffer(blob, np.int16, k, at + 8 * k)
+    return low | high << np.uint64(32), names[index], slack[index]
 
 
-def runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures and nodes of groups of two or more different nodes, sorted; where groups start, their sizes."""
+def runs(sig: np.ndarray, node: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Signatures, nodes and slacks of groups of two or more different nodes, sorted; where groups start, their sizes."""
     order = np.argsort(sig, kind="stable")
-    sig, node = sig[order], node[order]
+    sig, node, slack = sig[order], node[order], slack[order]
     same = sig[1:] == sig[:-1]
     shared = np.zeros(len(sig), bool)
     shared[1:] |= same
     shared[:-1] |= same
-    sig, node = sig[shared], node[shared]
+    sig, node, slack = sig[shared], node[shared], slack[shared]
     order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+    sig, node, slack = sig[order], node[order], slack[order]
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[fresh], node[fresh]
+    sig, node, slack = sig[fresh], node[fresh], slack[fresh]
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(sig)))
-    return sig, node, starts, sizes
+    return sig, node, slack, starts, sizes
 
 
-def hot_rows(sig, node, starts, sizes, bucket: int, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def hot_rows(sig, node, slack, starts, sizes, bucket: int, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Star edges and memberships of the groups beyond SMALL."""
     big = sizes > SMALL
     if not big.any():
@@ -166,25 +167,28 @@ def hot_rows(sig, node, starts, sizes, bucket: int, buckets: int) -> list[tuple[
     least = np.repeat(node[starts], sizes)
     star = member & (node != least)
     group = (sig * np.uint64(buckets) + np.uint64(bucket)).astype(np.int64)
-    return [(STAR, least[star], node[star]), (HOT, group[member], node[member])]
+    most = np.maximum(slack, np.repeat(slack[starts], sizes))
+    return [(STAR, least[star], node[star], most[star]), (HOT, group[member], node[member], slack[member])]
 
 
-def pair_rows(node, starts, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of the groups of at most SMALL, and how often each occurs."""
-    us, vs = [], []
+def pair_rows(node, slack, starts, sizes) -> tuple[np.ndarray, ...]:
+    """Pairs of the groups of at most SMALL, how often each occurs, and the larger slack."""
+    us, vs, ms = [], [], []
     for g in range(2, SMALL + 1):
         at = starts[sizes == g]
         if len(at):
             i, j = np.triu_indices(g, 1)
-            us.append(node[at[:, None] + i].ravel())
-            vs.append(node[at[:, None] + j].ravel())
+            i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            us.append(node[i])
+            vs.append(node[j])
+            ms.append(np.maximum(slack[i], slack[j]))
     if not us:
-        return (np.zeros(0, np.int64),) * 3
-    u, v = np.concatenate(us), np.concatenate(vs)
+        return (np.zeros(0, np.int64),) * 4
+    u, v, m = (np.concatenate(x) for x in (us, vs, ms))
     order = np.lexsort((v, u))
-    u, v = u[order], v[order]
+    u, v, m = u[order], v[order], m[order]
     first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
-    return u[first], v[first], np.diff(np.append(first, len(u)))
+    return u[first], v[first], np.diff(np.append(first, len(u))), m[first]
 
 
 def record(kind: int, a, b, n=None, m=None) -> pa.RecordBatch:
@@ -198,7 +202,7 @@ def send(buckets: int):
 
     def run(batches):
         shingler = shingles.Shingler()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         known: set[int] = set()
         amount, turn = 0, 0
 
@@ -208,7 +212,7 @@ def send(buckets: int):
             return (turn * 7919 + TaskContext.get().partitionId() * 104729) % buckets, kind, b"".join(np.ascontiguousarray(c, np.int64).tobytes() for c in columns)
 
         def flush():
-            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            sig, node, slack = (np.concatenate(x) for x in zip(*held, strict=True))
             out = []
             bucket = (sig >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
             order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.uint32), kind="stable")
@@ -218,16 +222,16 @@ def send(buckets: int):
                 at = order[bounds[b] : bounds[b + 1]]
                 if not len(at):
                     continue
-                s, x = sig[at], node[at]
-                shared, nodes, starts, sizes = runs(s, x)
-                hot = hot_rows(shared, nodes, starts, sizes, b, buckets)
+                s, x, y = sig[at], node[at], slack[at]
+                shared, nodes, slacks, starts, sizes = runs(s, x, y)
+                hot = hot_rows(shared, nodes, slacks, starts, sizes, b, buckets)
                 if hot:  # of a group that is hot here, only enough to show it goes on
-                    out += [raw(k, (p, q)) for k, p, q in hot]
+                    out += [raw(k, columns) for k, *columns in hot]
                     big = shared[starts[sizes > SMALL]]
                     keep = ~np.isin(s, big)
                     few = np.concatenate([np.arange(p, p + SMALL + 1) for p in starts[sizes > SMALL]])
-                    s, x = np.concatenate([s[keep], shared[few]]), np.concatenate([x[keep], nodes[few]])
-                out.append((b, PAIR, pack(s, x)))
+                    s, x, y = (np.concatenate([p[keep], q[few]]) for p, q in ((s, shared), (x, nodes), (y, slacks)))
+                out.append((b, PAIR, pack(s, x, y)))
             held.clear()
             known.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "kind", "data"])
@@ -246,7 +250,7 @@ def send(buckets: int):
                 sig, owner, left = signatures(sets[np.repeat(fresh, counts)], counts[fresh])
                 slack = np.full(len(nodes), 1 << 20, np.int64)
                 slack[fresh] = left
-                held.append((sig, nodes[fresh][owner]))
+                held.append((sig, nodes[fresh][owner], np.clip(left, -999, 32767)[owner]))
                 amount += len(sig)
                 b, k, d = raw(NODE, (ids[lo:hi], nodes, counts, slack))
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([k], pa.int32()), pa.array([d], pa.binary())], ["bucket", "kind", "data"])
@@ -266,13 +270,13 @@ def receive(buckets: int):
     def group(bucket, blobs):
         if not blobs:
             return
-        sig, node = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-        sig, node, starts, sizes = runs(sig, node)
-        for kind, a, b in hot_rows(sig, node, starts, sizes, bucket, buckets):
-            yield record(kind, a, b)
-        u, v, n = pair_rows(node, starts, sizes)
+        sig, node, slack = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+        sig, node, slack, starts, sizes = runs(sig, node, slack)
+        for kind, a, b, m in hot_rows(sig, node, slack, starts, sizes, bucket, buckets):
+            yield record(kind, a, b, m=m)
+        u, v, n, m = pair_rows(node, slack, starts, sizes)
         if len(u):
-            yield record(PAIR, u, v, n)
+            yield record(PAIR, u, v, n, m)
 
     def run(batches):
         now, blobs = -1, []
@@ -284,8 +288,8 @@ def receive(buckets: int):
                 if kind == PAIR:
                     blobs.append(data)
                 else:
-                    columns = np.frombuffer(data, np.int64).reshape(4 if kind == NODE else 2, -1)
-                    yield record(kind, *columns)
+                    columns = np.frombuffer(data, np.int64).reshape(4 if kind == NODE else 3, -1)
+                    yield record(kind, *columns) if kind == NODE else record(kind, *columns[:2], m=columns[2])
         yield from group(now, blobs)
 
     return run
@@ -332,8 +336,11 @@ def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def rare_meetings(docs: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) among the heavy (node, rep, size) by the prefix filter on their rarest shingles."""
+def rare_meetings(docs: DataFrame, heavy: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of different components among the heavy (node, rep, size), by a prefix filter.
+
+    With each set ordered by rarity, a linked pair's first common shingle leaves room for 3/7 of both sizes.
+    """
 
     def split(batches):
         for batch in batches:
@@ -344,10 +351,12 @@ def rare_meetings(docs: DataFrame, heavy: DataFrame) -> DataFrame:
     held = every.groupBy("x").count().where("count > 1")
     by_rarity = W.partitionBy("node").orderBy("count", "x")
     ranked = every.join(held, "x", "left").fillna(1, ["count"]).select("node", "size", "x", "count", F.row_number().over(by_rarity).alias("place"))
-    prefix = common.written(ranked.where("place <= size - ceil(0.75 * size) + 1 AND count > 1").select("node", "size", "x"), "prefix", BATCH)
-    a = prefix.select(F.col("node").alias("u"), F.col("size").alias("su"), "x")
-    b = prefix.select(F.col("node").alias("v"), F.col("size").alias("sv"), "x")
-    return a.join(b, "x").where("u < v AND 4 * least(su, sv) >= 3 * greatest(su, sv)").select("u", "v").distinct()
+    ranked = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    prefix = common.written(ranked.where("place <= size - ceil(0.75 * size) + 1 AND count > 1").select("node", "size", "x", "place", "label"), "prefix", BATCH)
+    a, b = (prefix.select(F.col("node").alias(e), F.col("size").alias(f"s{e}"), F.col("x").alias(f"x{e}"), F.col("place").alias(f"p{e}"), F.col("label").alias(f"l{e}")) for e in "uv")
+    room = "7 * (1 + least(su - pu, sv - pv)) >= 3 * (su + sv)"
+    met = a.join(b, F.expr(f"xu = xv AND u < v AND lu <> lv AND 4 * least(su, sv) >= 3 * greatest(su, sv) AND {room}"))
+    return met.select("u", "v").distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -362,11 +371,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = rows.where(f"kind = {HOT}").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
     # Shared signatures: those of small groups, and all that were seen, stars of hot groups included.
     seen = rows.where(f"kind IN ({PAIR}, {STAR})").groupBy(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = seen.agg(F.sum("n").alias("small"), F.sum(F.greatest("n", F.lit(1))).alias("total"))
-    for e in ("u", "v"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(e), F.col("slack").alias(f"slack_{e}"), F.col("size").alias(f"size_{e}")), e)
-    near = pairs.where("4 * least(size_u, size_v) >= 3 * greatest(size_u, size_v)")
-    pairs = common.written(near.select("u", "v", "small", "total", F.expr("1 + greatest(slack_u, slack_v)").alias("need")), "pairs")
+    pairs = seen.agg(F.sum("n").alias("small"), F.sum(F.greatest("n", F.lit(1))).alias("total"), (1 + F.max("m")).alias("need"))
+    pairs = common.written(pairs, "pairs")
 
     def ends(edges: DataFrame) -> DataFrame:
         return edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
@@ -379,17 +385,27 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
     unsettled = common.written(hot.join(mixed, "grp", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("open")), "unsettled")
     weak = pairs.where("total < need AND small > 0")
+    placed = unsettled.join(labels, "node", "left").select("node", "open", F.coalesce("label", "node").alias("label"))
     for e in ("u", "v"):
-        weak = weak.join(unsettled.select(F.col("node").alias(e), F.col("open").alias(f"open_{e}")), e)
-        weak = weak.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")), e, "left")
-    weak = weak.where("small + least(open_u, open_v) >= need AND coalesce(label_u, u) <> coalesce(label_v, v)").select("u", "v")
+        own = placed.select(F.col("node").alias(f"n_{e}"), F.col("open").alias(f"open_{e}"), F.col("label").alias(f"label_{e}"))
+        weak = weak.join(own, (F.col(e) == F.col(f"n_{e}")) & (F.col("small") + F.col(f"open_{e}") >= F.col("need")))
+    weak = weak.where("label_u <> label_v").select("u", "v")
     heavy = common.written(nodes.join(unsettled, "node", "left").where("coalesce(open, 0) > slack").select("node", "rep", "size"), "heavy")
     if not heavy.isEmpty():
-        weak = weak.unionByName(rare_meetings(docs, heavy))
+        weak = weak.unionByName(rare_meetings(docs, heavy, labels))
     more = common.written(weak.distinct(), "meetings")
     if not more.isEmpty():
-        links = common.written(links.unionByName(verified(more, sets_of(docs, ends(more)))).distinct(), "verified", BATCH)
-        labels = components.components(links)
+        found = verified(more, sets_of(docs, ends(more)))
+        for e in ("u", "v"):  # links between components found so far
+            found = found.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")), e, "left")
+        across = found.select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v")).where("u <> v").distinct()
+        across = common.written(across, "verified", BATCH)
+        if not across.isEmpty():
+            merged = components.components(across)
+            again = merged.select(F.col("node").alias("old"), F.col("label").alias("new"))
+            moved = labels.join(again, labels["label"] == again["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
+            alone = merged.join(labels.select("node"), "node", "left_anti").select("node", "label")
+            labels = common.written(moved.unionByName(alone), "labels")
     lone = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = lone.groupBy(F.col("label").alias("of")).agg(F.coalesce(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))), F.lit(NO_ID)).alias("component_id"))
     return members, lone.join(least, F.col("label") == F.col("of")).select("node", "component_id")
