@@ -71,8 +71,13 @@ _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _EDGE_L, _EDGE_R = r"(?<![^\W_])", r"(?![^\W_])"
 #: Two digits or more in a row, one of them spelled, with single spaces, hyphens or commas between.
 DIGITS = re.compile(rf"{_EDGE_L}(?:(?:{_WORD}){_EDGE_R}|[0-9](?=[ ,-]{{1,2}}(?:{_WORD}){_EDGE_R}))(?:[ ,-]{{1,2}}(?:(?:{_WORD})|[0-9]){_EDGE_R})+", re.I)
-#: A quick look at the lower-cased text: what DIGITS needs at least. It starts with letters, which the search skips to.
+#: A quick look at the lower-cased text: what DIGITS needs at least, whatever stands at its edges.
 DIGITS_HINT = re.compile(rf"(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9])|[0-9][ ,-]{{1,2}}(?:{_WORD})")
+#: Letters that DIGITS takes for an i or s without regard to case, though lower() doesn't.
+FOLDED = "İıſ"
+#: What stays of each spelled digit, to its right end, where all but ASCII letters and digits are white space.
+ENDINGS = frozenset(re.split("[^a-z]", w)[-1].encode() for w in SPELLED)
+LETTERS_ONLY = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + b" " * 128
 DIGIT = re.compile(rf"{_WORD}|[0-9]", re.I)
 #: A single spelled digit counts next to a spelled dot.
 DOTTED = re.compile(rf"(?<=\bdot )(?:{_WORD}){_EDGE_R}|{_EDGE_L}(?:{_WORD})(?= dot )", re.I)
@@ -171,6 +176,11 @@ def spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return [(m.start() + p.start(), m.start() + (parts[i + 1].start() if i + 1 < len(parts) else p.end()), SPELLED.get(p[0].lower(), p[0])) for i, p in enumerate(parts)]
 
 
+def may_spell(low: str) -> bool:
+    """False only where DIGITS finds nothing in the text that low is the lower case of, but for FOLDED."""
+    return not ENDINGS.isdisjoint(low.encode("ascii", "replace").translate(LETTERS_ONLY).split()) and DIGITS_HINT.search(low) is not None
+
+
 def digit_edits(text: str) -> list[tuple[int, int, str]]:
     """Single digits, each with its own source span; separators between them are dropped."""
     out = []
@@ -194,7 +204,7 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     dots = any(x in low for x in SPELLED_DOTS)
     if dots:
         tape.rewrite([(m.start(), m.end(), SPELLED[m[0].lower()]) for m in DOTTED.finditer(tape.text)])
-    if dots or not SPELLED.keys().isdisjoint(low.replace(",", " ").replace("-", " ").split()) and DIGITS_HINT.search(low):
+    if dots or may_spell(low) or any(c in tape.text for c in FOLDED):
         tape.rewrite(digit_edits(tape.text))
     tape.rewrite([(i, i + 1, "0" if tape.text[i] in "Oo" else "1") for m in FALSE_DIGITS.finditer(tape.text) for i in range(m.start() + 1, m.end())])
     if "plus" in low:

@@ -62,6 +62,33 @@ def test_spelled_card_and_phone():
     assert [(k, text[s:e]) for s, k, e in pii.added(text, [])] == [(3, text[4:-4])]
 
 
+@pytest.mark.parametrize(
+    "text,span",
+    [
+        ("Card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 one.", (5, 2, 38)),
+        ("Card:four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", (5, 2, 39)),
+        ("(4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 one)", (1, 2, 34)),
+        ("“vier, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1”", (1, 2, 50)),
+        ("Tel:+1 nine 8 8 5 5 5 2 4 8 5", (4, 3, 29)),
+        ("Tel:+1 988 555 248/fünf 8", None),
+    ],
+)
+def test_spelled_digits_at_any_edge(text, span):
+    got = pii.added(text, pii.spans(text))
+    assert got == ([span] if span else [])
+
+
+def test_the_gate_passes_all_that_the_search_finds(monkeypatch):
+    import random
+
+    r = random.Random(2)
+    some = ["one", "Four", "FÜNF", "zéro", "1", "4", "“", "_", "ſix", "sİeben", " ", " ", " ", ", ", "-", ".", ":", "/", "(", ")", '"', "+", "plus ", "é", "x", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "four, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1"]
+    texts = ["".join(r.choices(some, k=r.randint(1, 12))) for _ in range(20000)]
+    gated = [pii.added(t, pii.spans(t)) for t in texts]
+    monkeypatch.setattr(pii, "may_spell", lambda low: True)
+    assert gated == [pii.added(t, pii.spans(t)) for t in texts] and sum(map(bool, gated)) > 300
+
+
 @pytest.mark.parametrize("text", ["", "one two buckle my shoe", "meet me at example.com", "we met at dawn dot dot dot", "a@b.cd and +1 (988) 555-2485", "été à l'école", "point at one point in time", "it is at rest. The one", "we met at noon.", "version 2 at example.com", "10O people l1ve"])
 def test_clean_texts_gain_nothing(text):
     assert pii.added(text, pii.spans(text)) == []
