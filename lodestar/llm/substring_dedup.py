@@ -18,9 +18,12 @@ sorted:
    their own hashes, so its rows spread over all tasks, and each worker first drops what it holds twice.
 
 Defined results: null texts are empty: nothing removed, and kept_sha256 is that of no bytes. A null
-doc_id is smaller than all others. Rows with one doc_id and one text are the same strings, not earlier ones, so
-they are treated alike. An empty table gives no rows; extra columns are ignored. Texts of any length are
-worked on in pieces. Equality of contexts is that of 64-bit hashes.
+doc_id is smaller than all others. A document is a doc_id and a text: rows with both alike are the same strings, not
+earlier ones, so they are treated alike; different texts of one doc_id, or without one, are documents in the
+order of their hashes. An empty table gives no rows; extra columns are ignored. Texts of any length are worked on
+in pieces. Equality of contexts, and of the texts of one doc_id, is that of 64-bit hashes.
+
+In workers a document is its rank among those at hand; what is sent has its doc_id and its text's hash, sub.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ SORTED = 600_000
 BROADCAST_ROWS = 500_000
 NO_ID = -(1 << 63)
 GONE, CONTEXT, WINDOW, SENT = range(4)
-ROWS = "kind int, doc long, lo long, n long, grp long"
+ROWS = "kind int, doc long, sub long, lo long, n long, grp long"
 LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -113,32 +116,49 @@ def pieces(data: np.ndarray, ends: np.ndarray):
         yield 0, data, ends
 
 
-def blob(doc, *columns) -> bytes:
-    """Columns of equal length; documents by a dictionary."""
+def ranked(ids, subs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct documents in order, and the rank of each given one."""
+    ids, subs = np.asarray(ids, np.int64), np.asarray(subs, np.int64)
+    order = np.lexsort((subs, ids))
+    new = changes(ids[order], subs[order])
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return ids[order][new], subs[order][new], rank
+
+
+def blob(ids, subs, doc, *columns) -> bytes:
+    """Columns of equal length; documents (doc: their ranks in ids and subs) by a dictionary."""
     found, index = np.unique(doc, return_inverse=True)
     wide = np.uint32 if len(found) > 65535 else np.uint16
     head = np.array([len(doc), len(found)], np.int64).tobytes()
-    return b"".join((head, found.tobytes(), index.astype(wide).tobytes(), *(c.tobytes() for c in columns)))
+    return b"".join((head, ids[found].tobytes(), subs[found].tobytes(), index.astype(wide).tobytes(), *(c.tobytes() for c in columns)))
 
 
 def unblob(data: bytes, *kinds) -> list[np.ndarray]:
+    """The dictionary's ids and subs, places in it, columns."""
     n, k = (int(x) for x in np.frombuffer(data, np.int64, 2))
-    found = np.frombuffer(data, np.int64, k, 16)
-    at = 16 + 8 * k
-    out = []
+    out = [np.frombuffer(data, np.int64, k, 16), np.frombuffer(data, np.int64, k, 16 + 8 * k)]
+    at = 16 + 16 * k
     for kind in (np.uint32 if k > 65535 else np.uint16, *kinds):
         out.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    return [found[out[0]], *out[1:]]
+    return out
+
+
+def pooled(each: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct documents of several blobs in order, and the rank of the document of each of their rows."""
+    ids, subs, rank = ranked(np.concatenate([e[0] for e in each]), np.concatenate([e[1] for e in each]))
+    base = np.cumsum([0, *(len(e[0]) for e in each[:-1])])
+    return ids, subs, np.concatenate([rank[at : at + len(e[0])][e[2]] for e, at in zip(each, base.tolist(), strict=True)])
 
 
 def sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "data"])
 
 
-def rows_of(kind: int, doc, lo, n, grp=None) -> pa.RecordBatch:
+def rows_of(kind: int, ids, subs, doc, lo, n, grp=None) -> pa.RecordBatch:
     k = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *(pa.array(np.asarray(c, np.int64)) for c in (doc, lo, n, np.zeros(k) if grp is None else grp))], ["kind", "doc", "lo", "n", "grp"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *(pa.array(np.asarray(c, np.int64)) for c in (ids[doc], subs[doc], lo, n, np.zeros(k) if grp is None else grp))], ["kind", "doc", "sub", "lo", "n", "grp"])
 
 
 def changes(*columns) -> np.ndarray:
@@ -171,12 +191,15 @@ def send_contexts(buckets: int):
     """Texts to blobs of contexts by their anchor's bucket, and rows that need no company."""
 
     def run(batches):
-        hasher, held, amount, turn = Hasher(), [], 0, TaskContext.get().partitionId() * 104729
+        hasher, held, own, amount, turn = Hasher(), [], [], 0, TaskContext.get().partitionId() * 104729
 
         def flush():
             nonlocal turn
             doc, lo, k, key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, subs, rank = ranked(*(np.concatenate(x) for x in zip(*own, strict=True)))
+            doc = rank[doc]
             held.clear()
+            own.clear()
             order = np.lexsort((lo, doc, ctx, key))
             doc, lo, k, key, ctx = (x[order] for x in (doc, lo, k, key, ctx))
             new = changes(key, ctx)
@@ -196,20 +219,23 @@ def send_contexts(buckets: int):
             out = []
             for b, at in bucketed(key, buckets):
                 low = key[at] & LOW40
-                out.append((b, CONTEXT, blob(doc[at], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), ctx[at], lo[at].astype(np.int64) if lo[at].max() >> 32 else lo[at].astype(np.uint32), k[at].astype(np.uint8)) + bytes([bool(lo[at].max() >> 32)])))
+                out.append((b, CONTEXT, blob(names, subs, doc[at], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), ctx[at], lo[at].astype(np.int64) if lo[at].max() >> 32 else lo[at].astype(np.uint32), k[at].astype(np.uint8)) + bytes([bool(lo[at].max() >> 32)])))
             for kind, *columns in plain:
                 turn += 7919
-                out.append((turn % buckets, kind, blob(columns[0], *(np.asarray(c, np.int64) for c in columns[1:]))))
+                out.append((turn % buckets, kind, blob(names, subs, columns[0], *(np.asarray(c, np.int64) for c in columns[1:]))))
             return sent(out)
 
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids, subs = batch.column("doc_id").to_numpy(), batch.column("sub").to_numpy()
             for a, z, data, ends in shingles.chunked(batch.column("text")):
                 starts = np.concatenate([[0], ends[:-1]])
+                base = sum(len(x) for x, _ in own)
+                own.append((ids[a:z].copy(), subs[a:z].copy()))  # not a view, which would hold the whole batch
+                amount += z - a
                 for offset, part, stops in pieces(data, ends):
                     hasher.load(part)
                     text, lo, k, key, ctx = contexts(hasher, part, stops)
-                    held.append((ids[a:z][text], lo - starts[text] + offset, k, key, ctx))
+                    held.append((base + text, lo - starts[text] + offset, k, key, ctx))
                     amount += len(lo)
                 if amount >= FLUSH:
                     yield flush()
@@ -227,7 +253,8 @@ def receive_contexts(buckets: int):
         if not blobs:
             return
         each = [unblob(x[:-1], np.uint32, np.uint8, np.uint64, np.int64 if x[-1] else np.uint32, np.uint8) for x in blobs]
-        doc, low, high, ctx, lo, k = (np.concatenate([e[i].astype(kind) for e in each]) for i, kind in enumerate((np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64)))
+        ids, subs, doc = pooled(each)
+        low, high, ctx, lo, k = (np.concatenate([e[i].astype(kind) for e in each]) for i, kind in enumerate((np.uint64, np.uint64, np.uint64, np.int64, np.int64), 3))
         key = low | high << np.uint64(32)
         order = np.lexsort((lo, doc, ctx, k == 0, key))
         doc, key, ctx, lo, k = (x[order] for x in (doc, key, ctx, lo, k))
@@ -235,7 +262,7 @@ def receive_contexts(buckets: int):
         new = changes(key, ctx, sign)
         again = later(new, doc, lo) & ~sign
         if again.any():
-            yield rows_of(GONE, doc[again], lo[again], k[again] + LENGTH - 1)
+            yield rows_of(GONE, ids, subs, doc[again], lo[again], k[again] + LENGTH - 1)
         doc, key, ctx, lo, k = (x[new] for x in (doc, key, ctx, lo, k))
         anchor = changes(key)
         starts = np.flatnonzero(anchor)
@@ -245,7 +272,7 @@ def receive_contexts(buckets: int):
         hot = np.repeat(np.logical_or.reduceat(k == 0, starts), sizes)
         for kind, which in ((CONTEXT, np.repeat(sizes > 1, sizes) & ~hot), (WINDOW, hot & (k > 0))):
             if which.any():
-                yield rows_of(kind, doc[which], lo[which], k[which], (key[which] * np.uint64(buckets) + np.uint64(bucket)).astype(np.int64))
+                yield rows_of(kind, ids, subs, doc[which], lo[which], k[which], (key[which] * np.uint64(buckets) + np.uint64(bucket)).astype(np.int64))
 
     def run(batches):
         now, blobs = -1, []
@@ -267,14 +294,16 @@ def send_bytes(buckets: int):
     """Texts with their requests to blobs: contexts by anchor with their bytes, windows by their own hashes."""
 
     def run(batches):
-        hasher, held, windows, amount = Hasher(), [], [], 0
+        hasher, held, windows, own, amount = Hasher(), [], [], [], 0
         turn = TaskContext.get().partitionId() * 104729
 
         def flush():
             nonlocal turn
             out = []
+            names, subs, rank = ranked(*zip(*own, strict=True))
             if held:
                 doc, lo, k, grp = (np.concatenate([h[i] for h in held]) for i in range(4))
+                doc = rank[doc]
                 text = np.concatenate([h[4] for h in held])
                 size = k + LENGTH - 1
                 start = np.cumsum(size) - size
@@ -282,26 +311,29 @@ def send_bytes(buckets: int):
                     order = at[np.argsort(grp[at], kind="stable")]
                     s = size[order]
                     inside = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s) + np.repeat(start[order], s)
-                    out.append((b, CONTEXT, blob(doc[order], lo[order], k[order].astype(np.uint8), grp[order]) + text[inside].tobytes()))
+                    out.append((b, CONTEXT, blob(names, subs, doc[order], lo[order], k[order].astype(np.uint8), grp[order]) + text[inside].tobytes()))
             if windows:
                 doc, lo, h = (np.concatenate(x) for x in zip(*windows, strict=True))
+                doc = rank[doc]
                 order = np.lexsort((lo, doc, h))
                 doc, lo, h = doc[order], lo[order], h[order]
                 new = changes(h)
                 again = later(new, doc, lo)
                 if again.any():
                     turn += 7919
-                    out.append((turn % buckets, GONE, blob(*stretches(doc[again], lo[again]))))
+                    out.append((turn % buckets, GONE, blob(names, subs, *stretches(doc[again], lo[again]))))
                 doc, lo, h = doc[new], lo[new], h[new]
                 for b, at in bucketed(h, buckets):
-                    out.append((b, WINDOW, blob(doc[at], lo[at], h[at])))
+                    out.append((b, WINDOW, blob(names, subs, doc[at], lo[at], h[at])))
             held.clear()
             windows.clear()
+            own.clear()
             return sent(out)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, doc in enumerate(ids):
+            for i, document in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("sub").to_pylist(), strict=True)):
+                doc = len(own)
+                own.append(document)
                 data = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
                 lo, k, grp, kind = (np.asarray(batch.column(c)[i].values) for c in ("los", "ns", "grps", "kinds"))
                 c = kind == CONTEXT
@@ -313,11 +345,11 @@ def send_bytes(buckets: int):
                 if not c.all():
                     at = np.repeat(lo[~c], k[~c]) + np.arange(int(k[~c].sum())) - np.repeat(np.cumsum(k[~c]) - k[~c], k[~c])
                     for a in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
-                        own = at[(at >= a) & (at < a + PIECE)]
-                        if len(own):
+                        some = at[(at >= a) & (at < a + PIECE)]
+                        if len(some):
                             hasher.load(data[a : a + PIECE + LENGTH - 1])
-                            windows.append((np.full(len(own), doc), own, hasher.of(own - a, own - a + LENGTH)))
-                            amount += 24 * len(own)
+                            windows.append((np.full(len(some), doc), some, hasher.of(some - a, some - a + LENGTH)))
+                            amount += 24 * len(some)
                 if amount >= 16 * FLUSH:
                     yield flush()
                     amount = 0
@@ -368,20 +400,23 @@ def receive_bytes():
 
     def group(blobs, windows):
         if windows:
-            doc, lo, h = (np.concatenate(x) for x in zip(*(unblob(w, np.int64, np.uint64) for w in windows), strict=True))
+            each = [unblob(w, np.int64, np.uint64) for w in windows]
+            ids, subs, doc = pooled(each)
+            lo, h = (np.concatenate([e[i] for e in each]) for i in (3, 4))
             order = np.lexsort((lo, doc, h))
             doc, lo, h = doc[order], lo[order], h[order]
             again = later(changes(h), doc, lo)
             if again.any():
-                yield rows_of(GONE, *stretches(doc[again], lo[again]))
+                yield rows_of(GONE, ids, subs, *stretches(doc[again], lo[again]))
         if not blobs:
             return
         each = []
         for x in blobs:
             n, found = (int(i) for i in np.frombuffer(x, np.int64, 2))
-            at = 16 + 8 * found + n * (4 if found > 65535 else 2) + n * 17
+            at = 16 + 16 * found + n * (4 if found > 65535 else 2) + n * 17
             each.append((*unblob(x[:at], np.int64, np.uint8, np.int64), np.frombuffer(x, np.uint8, offset=at)))
-        doc, lo, k, grp, text = (np.concatenate([e[i] for e in each]) for i in range(5))
+        ids, subs, doc = pooled(each)
+        lo, k, grp, text = (np.concatenate([e[i] for e in each]) for i in range(3, 7))
         k = k.astype(np.int64)
         size = k + LENGTH - 1
         start = np.cumsum(size) - size
@@ -400,7 +435,7 @@ def receive_bytes():
             a = z
         d, s = (np.concatenate(x) for x in zip(*found, strict=True))
         if len(d):
-            yield rows_of(GONE, *stretches(d, s))
+            yield rows_of(GONE, ids, subs, *stretches(d, s))
 
     def run(batches):
         now, blobs, windows = -1, [], []
@@ -422,7 +457,7 @@ def cut(batches):
     """Texts with their GONE stretches to n_removed, n_spans and the hash of what is left."""
     for batch in batches:
         out = []
-        for doc, text, lo, n in zip(*(batch.column(c) for c in ("doc_id", "text", "los", "ns")), strict=True):
+        for doc, sub, text, lo, n in zip(*(batch.column(c) for c in ("doc_id", "sub", "text", "los", "ns")), strict=True):
             data = np.frombuffer(text.as_buffer(), np.uint8)
             a, b = np.asarray(lo.values), np.asarray(lo.values) + np.asarray(n.values)
             edge = np.zeros(len(data) + 1, np.int64)
@@ -430,45 +465,50 @@ def cut(batches):
             np.add.at(edge, b, -1)
             gone = np.cumsum(edge[:-1]) > 0
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            out.append((doc.as_py(), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-        yield pa.RecordBatch.from_pylist([dict(zip(("doc", "n_removed", "n_spans", "kept_sha256"), r, strict=True)) for r in out], pa.schema([("doc", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+            out.append((doc.as_py(), sub.as_py(), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+        yield pa.RecordBatch.from_pylist([dict(zip(("doc", "sub", "n_removed", "n_spans", "kept_sha256"), r, strict=True)) for r in out], pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, sub, text), doc_id NO_ID where it is null."""
+    return common.texts(docs).fillna({"doc_id": NO_ID}).select("doc_id", F.xxhash64("text").alias("sub"), "text")
 
 
 def beside(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """texts joined to lists by doc_id; only the texts needed move when their ids are few enough to broadcast."""
-    ids = lists.select(F.col("doc").alias("id"))
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(ids), texts["doc_id"] == F.col("id"), "left_semi")
-    return texts.join(lists, texts["doc_id"] == lists["doc"])
+    """texts joined to lists by document; only the texts needed move when they are few enough to broadcast a hash of each."""
+    names = lists.select(F.xxhash64("doc", "sub").alias("name"))
+    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(names), F.xxhash64(texts["doc_id"], texts["sub"]) == F.col("name"), "left_semi")
+    return texts.join(lists.withColumnRenamed("sub", "list_sub"), (texts["doc_id"] == F.col("doc")) & (texts["sub"] == F.col("list_sub")))
 
 
 def listed(rows: DataFrame, *columns: str) -> DataFrame:
-    """doc and, for each column, the array of its values, in one order."""
-    packed = rows.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("r"))
-    return packed.select("doc", *(F.col(f"r.{c}").alias(f"{c}s") for c in columns))
+    """doc, sub and, for each column, the array of its values, in one order."""
+    packed = rows.groupBy("doc", "sub").agg(F.collect_list(F.struct(*columns)).alias("r"))
+    return packed.select("doc", "sub", *(F.col(f"r.{c}").alias(f"{c}s") for c in columns))
 
 
 def gone_stretches(docs: DataFrame) -> DataFrame:
-    """(doc, lo, n): stretches of bytes to remove, overlapping ones included."""
+    """(doc, sub, lo, n): stretches of bytes to remove, overlapping ones included."""
     parts = common.partitions(docs.sparkSession)
     buckets = FINE * parts
-    texts = common.texts(docs)
+    texts = documents(docs)
     blobs = texts.mapInArrow(send_contexts(buckets), "bucket int, kind int, data binary")
     rows = common.written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive_contexts(buckets), ROWS), "contexts")
     wanted = common.written(listed(rows.where(f"kind <> {GONE}"), "lo", "n", "grp", "kind"), "requests")
-    near = beside(texts.fillna({"doc_id": NO_ID}), wanted).select("doc_id", "text", "los", "ns", "grps", "kinds")
+    near = beside(texts, wanted).select("doc_id", "sub", "text", "los", "ns", "grps", "kinds")
     fetched = near.mapInArrow(send_bytes(buckets), "bucket int, kind int, data binary")
     more = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive_bytes(), ROWS)
-    return rows.where(f"kind = {GONE}").select("doc", "lo", "n").unionByName(more.select("doc", "lo", "n"))
+    return rows.where(f"kind = {GONE}").select("doc", "sub", "lo", "n").unionByName(more.select("doc", "sub", "lo", "n"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    texts = common.texts(docs)
+    texts = documents(docs)
     lists = common.written(listed(gone_stretches(docs), "lo", "n"), "gone")
-    done = beside(texts.fillna({"doc_id": NO_ID}), lists).select("doc_id", "text", "los", "ns").mapInArrow(cut, "doc long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc"])
-    own = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    found = own.join(done, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), "left")
+    done = beside(texts, lists).select("doc_id", "sub", "text", "los", "ns").mapInArrow(cut, "doc long, sub long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "sub"])
+    own = common.texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), F.xxhash64("text").alias("own_sub"))
+    found = own.join(done, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (F.col("own_sub") == F.col("sub")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return found.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
