@@ -2,7 +2,9 @@
 
 The page becomes a tree (end tags that HTML lets authors leave out are implied). Parts that say what
 they are (menus, footers, asides, forms, scripts, adverts, comments, notices by tag, role, class or id)
-are cut. For every node the composite density is
+are cut. A class or id alone doesn't cut an article or main element or what encloses one (unless it names
+comments, which are often articles too), nor what holds most of the page's characters outside links (nearly all of
+them where it has no other word, as an advert longer than the text). For every node the composite density is
 
     C / T * log base ln(C / N * L + Lb / Cb * C + e) of (C / L * T / M)
 
@@ -48,15 +50,18 @@ NOISE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations popular trending search skip disclaimer copyright legal".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: Share of the page's characters outside links beyond which a node isn't cut for its class or id, by named().
+MOST = {1: 0.5, 2: 0.9, 3: 0.9}
 KEEPS = frozenset("html body main article".split())
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("kids", "parent", "sum", "tag", "c", "t", "l", "m", "density", "noise")
+    __slots__ = ("kids", "parent", "sum", "tag", "c", "t", "l", "m", "density", "noise", "named")
 
     def __init__(self, tag: str, parent):
-        self.tag, self.parent, self.kids, self.noise = tag, parent, [], False
+        self.tag, self.parent, self.kids, self.noise, self.named = tag, parent, [], False, 0
         self.c = self.t = self.l = self.m = 0
         self.density = self.sum = 0.0
 
@@ -79,11 +84,34 @@ def is_noise(tag: str, attrs: str, parent: Node) -> bool:
             return True
         if name == "itemprop" and value.lower() == "comment":
             return True
-        if name in ("id", "class") and any(w.lower() in NOISE_WORDS for w in PARTS.findall(value)):
-            return True
     return False
 
 
+def named(tag: str, attrs: str) -> int:
+    """Of class and id: 3 with a word for comments, 2 with noise words only, 1 with one among others, else 0."""
+    if not attrs or tag in KEEPS and tag != "article":
+        return 0
+    words = {w.lower() for name, value in ATTR.findall(attrs) if name.lower() in ("id", "class") for w in PARTS.findall(value)}
+    if words.isdisjoint(NOISE_WORDS):
+        return 0
+    return 3 if not words.isdisjoint(COMMENT_WORDS) else 2 if all(w in NOISE_WORDS or w.isdigit() for w in words) else 1
+
+
+def cut_named(root: Node) -> None:
+    """Noise by class or id, judged by what it would take away."""
+    nodes = order(root)
+    if not any(n.named for n in nodes):
+        return
+    free, holds = {}, set()
+    for n in reversed(nodes):
+        if n.tag in ("article", "main") or any(k in holds for k in n.kids):
+            holds.add(n)
+        free[n] = 0 if n.tag == "a" else sum(len(k) - k.count(" ") if isinstance(k, str) else free.get(k, 0) for k in n.kids)
+    for n in nodes:
+        if n.named:
+            n.noise = not (n.named < 3 and n in holds or free[n] > MOST[n.named] * free[root])
+
+
 def parse(page: str) -> Node:
     """The tree; kids are nodes and decoded texts in page order."""
     root = Node("html", None)
@@ -138,7 +166,7 @@ def parse(page: str) -> Node:
             if last is not None:
                 here = last.parent
         node = Node(tag, here)
-        node.noise = is_noise(tag, attrs, here)
+        node.noise, node.named = is_noise(tag, attrs, here), named(tag, attrs)
         here.kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -153,7 +181,7 @@ def parse(page: str) -> Node:
 
 
 def order(root: Node) -> list[Node]:
-    """Nodes without noise, parents first (no recursion: trees may be deep)."""
+    """Nodes without what is known as noise, parents first (no recursion: trees may be deep)."""
     found, todo = [], [root]
     while todo:
         n = todo.pop()
@@ -231,7 +259,9 @@ def text_of(root: Node) -> str:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    chosen = choose(parse(page))
+    root = parse(page)
+    cut_named(root)
+    chosen = choose(root)
     return text_of(chosen) if chosen is not None else ""
 
 

@@ -61,6 +61,20 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text or page and page.startswith("<p>unclosed")
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div class='content has-sidebar'><p>The main text stands here, and it goes on.</p><div class=sidebar><p>Not this.</p></div></div><div class=footer>f</div>", "The main text stands here, and it goes on."),
+        ("<div id=no-sidebar><article><p>Body text here.</p></article></div>", "Body text here."),
+        ("<article class='post category-legal tag-search'><h1>A</h1><p>Body text here.</p></article>", "A Body text here."),
+        ("<div class=page-search><main><p>Body text here.</p></main></div>", "Body text here."),
+        ("<article><p>Body text here, the one that counts.</p></article><ol class=commentlist><li><article class=comment-body><p>Nice one.</p></article></ol>", "Body text here, the one that counts."),
+    ],
+)
+def test_class_words_do_not_cut_the_main_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_deep_and_long_pages():
     html_text.main_text("<div>" * 20000 + "x")
     html_text.main_text("<p>" * 50000 + "<a b='" * 2000)
