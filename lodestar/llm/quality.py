@@ -46,7 +46,7 @@ class Both(labelled.Buckets):
         if word.isalpha():
             shape = "a" if word.islower() else "A" if word.isupper() else "Aa" if word[1:].islower() else "m"
         else:
-            shape = word[:32]
+            shape = word
             for run, sign in RUNS:
                 shape = run.sub(sign, shape)
         own = labelled.Buckets.__missing__(self, word)

@@ -25,6 +25,14 @@ def test_quality_held_out(spark):
     assert right > 0.95 and kept > 0.97 and wrong < 0.25
 
 
+def test_shapes_are_of_the_whole_word():
+    shapes = quality.Both(quality.BITS)
+    low = (1 << quality.BITS) - 1
+    stem = "a1" * 20
+    assert shapes[stem + "{};"] & low != shapes[stem + "B=7"] & low
+    assert shapes["x" * 40 + "!"] & low == shapes["yz!"] & low
+
+
 @pytest.mark.parametrize("module,column", [(toxicity, "toxic"), (quality, "quality")])
 def test_models_on_odd_rows(spark, module, column):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "word", "x"), (3, "a " * 30000, "x"), (3, "a " * 30000, "x")], "doc_id long, text string, score string")
