@@ -11,8 +11,8 @@ The benchmark's fingerprints and windows, and the ids of documents that meet any
 when counted and at most BROADCAST_ROWS; beyond that the same joins shuffle.
 
 Defined results: null texts have no words (n_words 0, nothing hit) and wordless items no windows; null
-item ids count as the empty id; repeated items count once. Repeated rows of a document give one row, of the
-longest text if they differ. An empty benchmark hits nothing; an empty table gives no rows. Extra columns
+item ids count as the empty id; repeated items count once. Every row of documents gives one row, judged by its own
+text: a document is its doc_id, which may be null, and the 64-bit hash of its text (sub). An empty benchmark hits nothing; an empty table gives no rows. Extra columns
 are ignored by ``hits`` and carried by ``drop_contaminated``.
 """
 
@@ -71,15 +71,23 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs."""
+    return judged(docs, benchmark).drop("sub")
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    return common.texts(docs).select("doc_id", F.xxhash64("text").alias("sub"), "text")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """hits, with sub."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
     lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())  # at most WINDOW values
     short = [m for m in lengths if m < WINDOW]
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
+    own = documents(docs).select("doc_id", "sub", words(F.col("text")).alias("words"))
     empty = F.sha2(F.lit(""), 256)
     if not lengths:
-        none = own.groupBy("doc_id").agg(F.max(F.size("words")).cast("long").alias("n_words"))
-        return none.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return own.select("doc_id", "sub", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
     item_windows = None
     for m in lengths:
         some = windows(items.where(F.size("words") >= WINDOW if m == WINDOW else F.size("words") == m), ["item_id"], [m])
@@ -94,32 +102,34 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         prints = prints.union(whole.select(F.explode(grams("hashes", m))))
     prints = bounded(common.written(prints.distinct(), "prints")).select("print", F.lit(1).alias("met"))
     # One pass over the texts: a row for each fingerprint, and one without for the number of words.
-    marked = fingerprints(own, short).select("doc_id", F.size("words").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "prints")).alias("print"))
+    marked = fingerprints(own, short).select("doc_id", "sub", F.size("words").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "prints")).alias("print"))
     met = marked.join(prints, "print", "left").where("print IS NULL OR met = 1")
-    flags = common.written(met.groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"), F.max("met").alias("met")), "flags")
-    suspects = bounded(flags.where("met = 1").select(F.col("doc_id").alias("id")))
-    near = docs.join(suspects, docs["doc_id"].eqNullSafe(F.col("id")), "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
-    found = windows(near, ["doc_id"], lengths).join(bounded(item_windows.select("window").distinct()), "window", "left_semi")
-    found = common.written(found.select("doc_id", "start", "length", "window"), "hits")
-    return flags.join(covered(found), flags["doc_id"].eqNullSafe(F.col("hit_doc")), "left").join(item_lists(found, item_windows), flags["doc_id"].eqNullSafe(F.col("item_doc")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+    flags = common.written(met.groupBy("doc_id", "sub").agg(F.max("n_words").cast("long").alias("n_words"), F.max("met").alias("met"), F.count_if(F.col("print").isNull()).alias("rows")), "flags")
+    suspects = bounded(flags.where("met = 1").select(F.col("doc_id").alias("id"), F.col("sub").alias("id_sub")))
+    near = documents(docs).join(suspects, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sub") == F.col("id_sub")), "left_semi").select("doc_id", "sub", words(F.col("text")).alias("words"))
+    found = windows(near, ["doc_id", "sub"], lengths).join(bounded(item_windows.select("window").distinct()), "window", "left_semi")
+    found = common.written(found.select("doc_id", "sub", "start", "length", "window"), "hits")
+    each = flags.select("doc_id", "sub", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))
+    same = lambda name: each["doc_id"].eqNullSafe(F.col(f"{name}_doc")) & (each["sub"] == F.col(f"{name}_sub"))
+    return each.join(covered(found), same("hit"), "left").join(item_lists(found, item_windows), same("item"), "left").select(
+        "doc_id", "sub", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", empty).alias("items_sha256"), (F.coalesce("n_items", F.lit(0)) >= CONTAMINATED_ITEMS).alias("contaminated"),
     )
 
 
 def covered(found: DataFrame) -> DataFrame:
-    """hit_doc, n_hit: words of a document under its hits, each once."""
-    spans = found.groupBy("doc_id", "start").agg((F.col("start") + F.max("length")).alias("stop"))
-    before = W.partitionBy("doc_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    """hit_doc, hit_sub, n_hit: words of a document under its hits, each once."""
+    spans = found.groupBy("doc_id", "sub", "start").agg((F.col("start") + F.max("length")).alias("stop"))
+    before = W.partitionBy("doc_id", "sub").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
-    return spans.select("doc_id", fresh.alias("fresh")).groupBy(F.col("doc_id").alias("hit_doc")).agg(F.sum("fresh").alias("n_hit"))
+    return spans.select("doc_id", "sub", fresh.alias("fresh")).groupBy(F.col("doc_id").alias("hit_doc"), F.col("sub").alias("hit_sub")).agg(F.sum("fresh").alias("n_hit"))
 
 
 def item_lists(found: DataFrame, item_windows: DataFrame) -> DataFrame:
-    """item_doc, n_items, items_sha256: the distinct items whose windows a document holds."""
-    pairs = found.select("doc_id", "window").distinct().join(item_windows, "window").select("doc_id", "item_id").distinct()
-    listed = pairs.groupBy(F.col("doc_id").alias("item_doc")).agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    return listed.select("item_doc", F.size("ids").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    """item_doc, item_sub, n_items, items_sha256: the distinct items whose windows a document holds."""
+    pairs = found.select("doc_id", "sub", "window").distinct().join(item_windows, "window").select("doc_id", "sub", "item_id").distinct()
+    listed = pairs.groupBy(F.col("doc_id").alias("item_doc"), F.col("sub").alias("item_sub")).agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    return listed.select("item_doc", "item_sub", F.size("ids").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

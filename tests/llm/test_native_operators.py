@@ -76,6 +76,14 @@ def test_decontamination(spark, tmp_path, same_as_oracle):
     same_as_oracle(decontamination.op3_decontamination(spark, str(tmp_path)), decontamination.ORACLE, str(tmp_path))
 
 
+def test_decontamination_of_texts_that_share_an_id_or_have_none(spark):
+    docs = spark.createDataFrame([(None, "alpha beta x"), (None, "gamma"), (None, "gamma alpha beta"), (7, "gamma"), (7, "alpha beta"), (7, "alpha beta"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame(BENCH, "item_id long, text string")
+    got = sorted(((x.doc_id, x.n_words, x.n_hit, x.n_items, x.contaminated) for x in decontamination.hits(docs, items).collect()), key=str)
+    want = [(None, 3, 2, 1, False), (None, 1, 1, 1, False), (None, 3, 3, 2, True), (7, 1, 1, 1, False), (7, 2, 2, 1, False), (7, 2, 2, 1, False), (None, 0, 0, 0, False)]
+    assert got == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("items", [[], [(1, "..."), (2, None)]])
 def test_no_benchmark(spark, items):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
