@@ -134,7 +134,9 @@ def item_lists(found: DataFrame, item_windows: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents."""
-    return common.without(docs, hits(docs, benchmark).where("contaminated"))
+    gone = common.written(judged(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__gone"), F.col("sub").alias("__sub")).distinct(), "gone")
+    own_sub = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(bounded(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & (own_sub == F.col("__sub")), "left_anti")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

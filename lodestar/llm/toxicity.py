@@ -149,8 +149,16 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that the machine rejects."""
-    return common.without(docs, scores(docs, labels).where("predicted = 1"))
+    """docs without the rows whose own text the machine rejects, whatever their doc_id."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def run(batches):
+        buckets, machine = labelled.Buckets(BITS), model.value
+        for b in batches:
+            s = machine.score([terms(t or "", buckets) for t in b.column("text").to_pylist()])
+            yield b.filter(pa.array([x < 0.5 for x in s], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

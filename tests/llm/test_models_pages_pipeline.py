@@ -113,6 +113,21 @@ def test_pipeline_against_brute_force(spark):
     assert all(r.taken <= 3 * r["size"] for r in got)
 
 
+def test_filters_judge_rows_without_an_id_or_with_a_shared_one(spark):
+    from lodestar.llm import decontamination
+
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, ("vile nasty hateful " if i % 2 else "calm gentle pleasant ") * 5) for i in range(40)]
+    rows += [(None, rows[1][1]), (None, rows[0][1]), (90, rows[1][1]), (90, rows[0][1]), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and not kept.where("text LIKE 'vile%'").count()
+    assert kept.where("text LIKE 'calm%'").count() == 22
+    items = spark.createDataFrame([(1, "vile nasty"), (2, "nasty hateful")], "item_id long, text string")
+    assert decontamination.drop_contaminated(docs, items).where("text LIKE 'vile%'").count() == 0
+    assert decontamination.drop_contaminated(docs, items).where("text LIKE 'calm%'").count() == 22
+
+
 def test_stage_columns_and_empty_input(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
