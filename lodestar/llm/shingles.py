@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SHINGLE = 5
 #: Bytes of text worked on together; one longer text is worked on alone.
 CHUNK = 2_000_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of a word that are hashed in numpy, eight at a time; longer words are hashed one by one.
+LONG_WORD = 64
 PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 SHORT = np.uint64(0x1D8E4E27C47D124F)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -30,19 +31,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Shingler:
-    """Keeps the powers of BASE and of its inverse between chunks."""
+def hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of data: every eight bytes are mixed into a state that starts from the size."""
+    out = mix(size.astype(np.uint64) * SHORT)
+    eights = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    at = np.flatnonzero(size <= LONG_WORD)
+    lo, left = start[at], size[at]
+    while len(at):
+        kept = np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        out[at] = mix(out[at] ^ ((eights[lo] << kept) >> kept))
+        more = left > 8
+        at, lo, left = at[more], lo[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return out
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, b in (("up", BASE), ("down", INVERSE)):
-                p = np.full(n, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
+class Shingler:
+    """Shingle sets of chunks of texts."""
 
     def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word and words of each text; data: the texts' bytes, ends: where each text ends."""
@@ -58,17 +64,8 @@ class Shingler:
         first[cuts] = inside[cuts]  # a word never goes on in the next text
         last[cuts - 1] = inside[cuts - 1]
         a, z = np.flatnonzero(first), np.flatnonzero(last)
-        up, down = self.powers(n)
-        run = data.astype(np.uint64)
-        run += np.uint64(1)
-        run *= up
-        np.cumsum(run, out=run)
-        h = run[z]
-        h[a > 0] -= run[a[a > 0] - 1]
-        h *= down[a]
-        h += (z - a).astype(np.uint64) * SHORT
         counts = np.diff(np.searchsorted(a, ends), prepend=0)
-        return mix(h), counts
+        return hashed(data, a, z + 1 - a), counts
 
     def sets(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All shingles, text after text, each text's distinct and ascending; and how many each has."""

@@ -55,24 +55,56 @@ ROWS = "kind int, doc long, sub long, lo long, n long, grp long"
 LOW40 = np.uint64((1 << 40) - 1)
 
 
-class Hasher(shingles.Shingler):
-    """Hashes of substrings of a piece of bytes from running sums."""
+class Hasher:
+    """Hashes of substrings of a piece of bytes from running sums modulo two primes.
+
+    Modulo a power of two such sums agree for structured strings whatever the base; modulo a prime, n bytes
+    that differ agree for at most n bases.
+    """
+
+    #: Primes below 2**31, so that products and sums over a piece stay below 2**64; and a base for each.
+    FIELDS = ((2147483647, 1299709), (2147483629, 15485863))
+
+    def __init__(self):
+        self.up = [np.ones(1, np.uint64)] * 2
+        self.down = [np.ones(1, np.uint64)] * 2
+
+    def powers(self, n: int) -> None:
+        if len(self.up[0]) < n:
+            for table, inverse in ((self.up, False), (self.down, True)):
+                for i, (p, base) in enumerate(self.FIELDS):
+                    step, out = pow(base, -1, p) if inverse else base, np.ones(1, np.uint64)
+                    while len(out) < n:  # by doubling
+                        out = np.concatenate([out, out * np.uint64(step) % np.uint64(p)])
+                        step = step * step % p
+                    table[i] = out
 
     def load(self, data: np.ndarray) -> None:
         n = len(data)
-        up, self.back = self.powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        run = data.astype(np.uint64)
-        run += np.uint64(1)
-        run *= up[:n]
-        np.cumsum(run, out=self.sums[1:])
+        self.powers(n + 1)
+        run = data.astype(np.uint64) + np.uint64(1)
+        self.sums = []
+        for up in self.up:
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(run * up[:n], out=total[1:])
+            self.sums.append(total)
+
+    def joined(self, parts) -> np.ndarray:
+        low, high = (rest(rest(part, p) * down, p) for (part, down), (p, _) in zip(parts, self.FIELDS, strict=True))
+        return shingles.mix(low | high << np.uint64(32))
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return shingles.mix((self.sums[hi] - self.sums[lo]) * self.back[lo] + (hi - lo).astype(np.uint64) * shingles.SHORT)
+        h = self.joined((s[hi] - s[lo], d[lo]) for s, d in zip(self.sums, self.down, strict=True))
+        return shingles.mix(h + (hi - lo).astype(np.uint64) * shingles.SHORT)
 
     def every(self, length: int) -> np.ndarray:
-        k = len(self.sums) - length
-        return shingles.mix((self.sums[length:] - self.sums[:k]) * self.back[:k])
+        k = len(self.sums[0]) - length
+        return self.joined((s[length:] - s[:k], d[:k]) for s, d in zip(self.sums, self.down, strict=True))
+
+
+def rest(x: np.ndarray, p: int) -> np.ndarray:
+    """x modulo p; numpy divides by one number much faster than it takes remainders."""
+    return x - x // np.uint64(p) * np.uint64(p)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:

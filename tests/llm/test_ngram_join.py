@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from lodestar.llm import ngram_join as nj
+from lodestar.llm import shingles, substring_dedup
 
 
 def brute(rows):
@@ -74,3 +76,33 @@ def test_schemes_cover_every_pair():
             for x in (s, t):
                 _, parts, used, slack = next(y for y in nj.schemes_of(x) if y[0] == band)
                 assert parts >= used >= (s + t) // 7 + 1 + slack
+
+
+def thue_morse(n):
+    """A word of n letters and its complement, on which sums modulo a power of two agree whatever their base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[b ^ turn] for b in bits) for turn in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [8, 64, 65, 1024, 65536])
+def test_structured_words_have_their_own_hashes(n):
+    data = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+    sets, counts = shingles.Shingler().sets(data, np.array([n, 2 * n]))
+    assert counts.tolist() == [1, 1] and sets[0] != sets[1]
+    hasher = substring_dedup.Hasher()
+    hasher.load(data)
+    a, b = hasher.of(np.array([0, n]), np.array([n, 2 * n]))
+    assert a != b
+
+
+def test_hashes_are_of_the_bytes_alone():
+    texts = ["a bc defghijk lmnopqrstuvw " + "x" * 64 + " " + "y" * 65, "a bc defghijk lmnopqrstuvw " + "x" * 64 + " " + "y" * 65 + " z"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    words, counts = shingles.Shingler().words(data, np.array([len(texts[0]), len(data)]))
+    assert counts.tolist() == [6, 7] and words[:6].tolist() == words[6:12].tolist() and len(set(words.tolist())) == 7
+    r = np.random.default_rng(1).integers(97, 99, 5000).astype(np.uint8)
+    hasher, again = substring_dedup.Hasher(), substring_dedup.Hasher()
+    hasher.load(r)
+    again.load(r[1000:])
+    assert (hasher.every(100)[1000:] == again.every(100)).all()
+    assert len(set(hasher.every(100).tolist())) == len({r[i : i + 100].tobytes() for i in range(4901)})
