@@ -1,10 +1,13 @@
 """The classifiers' held-out accuracy, page extraction, and the pipeline against brute force."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import html_text, pii, quality, token_counts, toxicity
+from lodestar.llm import html_text, labelled, pii, quality, token_counts, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -20,6 +23,37 @@ def test_toxicity_held_out(spark):
     assert right > 0.95 and caught > 0.7 and alarms < 0.01
 
 
+def test_toxicity_scores_are_the_sums_over_all_pairs():
+    r = np.random.default_rng(2)
+    machine = toxicity.Machine(np.arange(10, 40, 3), -0.3)
+    machine.w, machine.v = r.normal(size=machine.w.shape), r.normal(size=machine.v.shape)
+    machine.v[-1] = 0
+    rows = [np.unique(r.integers(0, 50, k)) for k in (0, 1, 2, 7, 30)]
+    for row, got in zip(rows, machine.score(rows), strict=True):
+        at = [*(machine.kept.tolist().index(x) for x in row.tolist() if x in machine.kept), len(machine.kept)]
+        want = machine.bias + sum(machine.w[i] for i in at) + sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(at) for j in at[:n])
+        assert got == pytest.approx(1 / (1 + np.exp(-want)), abs=1e-6)
+
+
+def test_toxicity_learns_what_only_pairs_tell(spark):
+    """Neither word tells anything alone: documents are toxic where the insult meets the group, or the praise the foe."""
+    r = random.Random(4)
+    rows = []
+    for i in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = ["insult" if a else "praise", "group" if b else "foe", *(f"filler{r.randrange(200)}" for _ in range(8))]
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = toxicity.scores(df.select("doc_id", "text"), df.select("doc_id", "toxic")).where("held_out").join(df, "doc_id").collect()
+    assert len(held) > 500 and sum(x.predicted == x.toxic for x in held) > 0.97 * len(held)
+    machine = toxicity.learn(df, df)
+    machine.v[:] = 0
+    buckets = labelled.Buckets(toxicity.BITS)
+    alone = machine.score([toxicity.terms(x.text, buckets) for x in held])
+    assert sum((s >= 0.5) == (x.toxic == 1) for s, x in zip(alone, held, strict=True)) < 0.65 * len(held)
+
+
 def test_quality_held_out(spark):
     right, kept, wrong = accuracy(spark, quality.op7_quality(spark, SF), "quality")
     assert right > 0.95 and kept > 0.97 and wrong < 0.25
