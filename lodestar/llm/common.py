@@ -1,15 +1,14 @@
-"""What the operators share: reading tables, a folder all executors see, and written intermediates."""
+"""What the operators share: reading tables and written intermediates."""
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for sessions on one machine that name no shared folder (tests).
-LOCAL_SHARED = "file:///tmp/checkpoints/lodestar"
-
+from lodestar.sources.shared import shared_dir
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,36 +22,29 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where the master is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL_SHARED
-
-
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_setting = threading.RLock()
 
 
 def written(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
 
-    The files survive the loss of executors; the owner of the shared folder clears it. batch: rows that go
-    to a Python worker at once, where rows are large and the session allows more.
+    The files survive the loss of executors; the owner of the shared folder clears it. batch: bytes that go
+    to a Python worker at once, where rows are large and the session allows more. It is a setting of the session while
+    df is planned and written, so such writes wait for each other; it changes how fast other queries are, not what they give.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{label}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(BATCH)
-    if batch is not None:
-        spark.conf.set(BATCH, str(min(batch, int(usual)) if int(usual) > 0 else batch))
-    try:
-        # Planned under the setting: a plan made before keeps the session's own.
-        (df.select("*") if batch is not None else df).write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH, usual)
+    if batch is None:
+        df.write.option("compression", "zstd").parquet(path)
+    else:
+        with _setting:
+            usual = spark.conf.get(BATCH)
+            spark.conf.set(BATCH, str(batch))
+            try:
+                df.select("*").write.option("compression", "zstd").parquet(path)  # a plan made before keeps the session's own
+            finally:
+                spark.conf.set(BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,18 +1,27 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of distinct five-word shingles link at a Jaccard similarity of 3/4 or more. Two linked sets of s and
-t shingles differ in at most (s + t) / 7 elements. Sets fall into size bands; a band's scheme deals the feature
-domain into parts, more than the differences that a pair with its larger set in the band can have, so the pair
-has equal non-empty projections on SLACK and more of the first parts: shared signatures. A set takes part in the
-schemes of its own band and of those that a larger partner may be in.
-
-Signatures are grouped by hash. Equal sets are one node throughout, so copies cost nothing. In a group of at most
-SMALL nodes every pair is a candidate, and pairs with too few shared signatures are dropped by the
-same bound. A larger group is hot: it is never expanded into pairs. It counts for its nodes' pairs with its
-least node only; links found so far are closed to components, and a group within one component is settled. A
-pair's shared signatures that were not counted lie in unsettled groups of both, so pairs that could have enough with
-those are verified too. Nodes in more unsettled groups than their empty parts leave slack may share hot signatures
-alone; they meet again by an exact prefix filter: linked sets share one of their s - ceil(3s/4) + 1 rarest shingles. Candidates are verified on the whole sets. The result is exact up to collisions of 64-bit hashes.
+t shingles differ in at most d = (s + t) / 7 elements. Sets fall into size bands; a band's scheme deals the feature
+domain into parts, more than a pair with its larger set in the band can differ in, and enumerates the subsets of one
+part each: a set's signatures are its projections on them. A set takes part in the schemes of its own band and of those
+that a larger partner may be in. Of the first d + 1 + slack parts a linked pair agrees on slack + 1 and more; parts
+where a set is empty give it no signature, so the pair shares need = 1 + slack - (empty parts) signatures, by
+either set's count. (Subsets of two of three parts cost more here: a third of the parts of a band's smallest sets are empty.)
+
+Signatures are grouped by hash; equal sets are one node throughout, so copies cost nothing. No group is expanded
+into pairs:
+
+1. Groups with the same members become one with a weight. Nodes with fewer shared signatures than they need go.
+2. A group's centre is the member that meets most others in all its groups: in a family of near copies, that
+   nearest to what they were copied from. Each member is paired with the centre only; pairs that meet
+   as often as they need are verified on the whole sets, and links are closed to components.
+3. A linked pair of different components shares its signatures in groups that hold both. So groups within a
+   component are settled, and nodes with fewer signatures in the others than they need are too.
+4. What is left meets by an exact prefix filter, across components only: linked sets share one of their
+   s - ceil(3s/4) + 1 rarest shingles, at places that leave room for enough common ones. Few pairs are left, are verified,
+   and join components. Nodes whose empty parts use up the slack, who may share no signature, take part in this too.
+
+The result is exact up to collisions of 64-bit hashes. The workers' buckets of signatures follow the bytes of the input.
 
 Defined results: texts without words (null, empty, blank) have empty sets, link with nothing and are their own
 component. Texts of one to four words have one shingle. A null doc_id never names a component unless it is alone.
@@ -32,20 +41,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm import common, components, shingles
+from lodestar.llm import common, shingles
+from lodestar.operators.graphs import connected_components
 
-#: Largest group that is expanded into pairs.
-SMALL = 8
+#: A group with more members than this among what a worker sends at once is spread: one goes on to meet those of
+#: other workers, the rest are sent as rows of their own, so that no bucket holds a frequent signature's members.
+SMALL = 32
+#: A group with more members than this is not kept as one row.
+LONGEST = 4096
 #: Signatures that a worker gathers before it sends them on.
-FLUSH = 1_000_000
-#: Buckets of signatures for each shuffle partition.
+FLUSH = 500_000
+#: Buckets of signatures for each shuffle partition, at least; and bytes of text for each bucket, at most (about one signature
+#: for eight bytes).
 FINE = 2
-#: Rows in an Arrow batch: texts, or pairs of whole sets.
-BATCH = 1000
+BUCKET_BYTES = 8_000_000
+#: Bytes of an Arrow batch of packed signatures, or of pairs of whole sets.
+BATCH = 8_000_000
 BROADCAST_ROWS = 500_000
 NO_ID = -(1 << 63)
-PAIR, STAR, HOT, NODE = range(4)
-ROWS = "kind int, a long, b long, n int, m int"
+PACKED, LIST, SPREAD, NODE = range(4)
+ROWS = "kind int, a long, b long, c long, n int, m int, members array<long>"
 
 
 @functools.cache
@@ -121,88 +136,53 @@ def signatures(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return sig[full], owner[of[full]], left
 
 
-def pack(sig: np.ndarray, node: np.ndarray, slack: np.ndarray) -> bytes:
-    """The low 40 bits of each signature, and nodes with their slack by a dictionary; planes of bytes compress."""
-    names, first, index = np.unique(node, return_index=True, return_inverse=True)
+def pack(sig: np.ndarray, node: np.ndarray, spread: np.ndarray) -> bytes:
+    """The low 40 bits of each signature, nodes by a dictionary, and a bit for members of spread groups; planes of bytes compress."""
+    names, index = np.unique(node, return_inverse=True)
     wide = np.uint32 if len(names) > 65535 else np.uint16
-    return b"".join((np.array([len(sig), len(names)], np.int64).tobytes(), sig.astype(np.uint32).tobytes(), (sig >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(wide).tobytes(), names.tobytes(), slack[first].astype(np.int16).tobytes()))
+    return b"".join((np.array([len(sig), len(names)], np.int64).tobytes(), sig.astype(np.uint32).tobytes(), (sig >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(wide).tobytes(), names.tobytes(), np.packbits(spread).tobytes()))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, k = np.frombuffer(blob, np.int64, 2)
+    n, k = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     low = np.frombuffer(blob, np.uint32, n, 16).astype(np.uint64)
     high = np.frombuffer(blob, np.uint8, n, 16 + 4 * n).astype(np.uint64)
     wide = np.uint32 if k > 65535 else np.uint16
     index = np.frombuffer(blob, wide, n, 16 + 5 * n)
     at = 16 + 5 * n + wide().itemsize * n
-    names, slack = np.frombuffer(blob, np.int64, k, at), np.frombuffer(blob, np.int16, k, at + 8 * k)
-    return low | high << np.uint64(32), names[index], slack[index]
-
-
-def runs(sig: np.ndarray, node: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Signatures, nodes and slacks of groups of two or more different nodes, sorted; where groups start, their sizes."""
-    order = np.argsort(sig, kind="stable")
-    sig, node, slack = sig[order], node[order], slack[order]
-    same = sig[1:] == sig[:-1]
-    shared = np.zeros(len(sig), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    sig, node, slack = sig[shared], node[shared], slack[shared]
+    names = np.frombuffer(blob, np.int64, k, at)
+    spread = np.unpackbits(np.frombuffer(blob, np.uint8, offset=at + 8 * k), count=n).astype(bool)
+    return low | high << np.uint64(32), names[index], spread
+
+
+def groups(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The order that sorts distinct (signature, node); where groups start in it, and their sizes."""
     order = np.lexsort((node, sig))
-    sig, node, slack = sig[order], node[order], slack[order]
-    fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node, slack = sig[fresh], node[fresh], slack[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(sig)))
-    return sig, node, slack, starts, sizes
-
-
-def hot_rows(sig, node, slack, starts, sizes, bucket: int, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Star edges and memberships of the groups beyond SMALL."""
-    big = sizes > SMALL
-    if not big.any():
-        return []
-    member = np.repeat(big, sizes)
-    least = np.repeat(node[starts], sizes)
-    star = member & (node != least)
-    group = (sig * np.uint64(buckets) + np.uint64(bucket)).astype(np.int64)
-    most = np.maximum(slack, np.repeat(slack[starts], sizes))
-    return [(STAR, least[star], node[star], most[star]), (HOT, group[member], node[member], slack[member])]
-
-
-def pair_rows(node, slack, starts, sizes) -> tuple[np.ndarray, ...]:
-    """Pairs of the groups of at most SMALL, how often each occurs, and the larger slack."""
-    us, vs, ms = [], [], []
-    for g in range(2, SMALL + 1):
-        at = starts[sizes == g]
-        if len(at):
-            i, j = np.triu_indices(g, 1)
-            i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            us.append(node[i])
-            vs.append(node[j])
-            ms.append(np.maximum(slack[i], slack[j]))
-    if not us:
-        return (np.zeros(0, np.int64),) * 4
-    u, v, m = (np.concatenate(x) for x in (us, vs, ms))
-    order = np.lexsort((v, u))
-    u, v, m = u[order], v[order], m[order]
-    first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
-    return u[first], v[first], np.diff(np.append(first, len(u))), m[first]
-
-
-def record(kind: int, a, b, n=None, m=None) -> pa.RecordBatch:
-    k = len(a)
-    zero = np.zeros(k, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array(a), pa.array(b), pa.array(zero if n is None else n.astype(np.int32)), pa.array(zero if m is None else m.astype(np.int32))], ["kind", "a", "b", "n", "m"])
+    s, x = sig[order], node[order]
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
+    order, s = order[fresh], s[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return order, starts, np.diff(np.append(starts, len(s)))
+
+
+def group_name(sig: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    return shingles.mix(sig * np.uint64(buckets) + np.uint64(bucket)).astype(np.int64)
+
+
+def record(kind: int, **columns) -> pa.RecordBatch:
+    k = len(next(iter(columns.values())))
+    kinds = {"a": pa.int64(), "b": pa.int64(), "c": pa.int64(), "n": pa.int32(), "m": pa.int32(), "members": pa.list_(pa.int64())}
+    own = [pa.nulls(k, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c].astype(t.to_pandas_dtype())) for c, t in kinds.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *own], ["kind", *kinds])
 
 
 def send(buckets: int):
-    """Texts to (bucket, kind, data): packed signatures by bucket; nodes, star edges and memberships as they are."""
+    """(doc_id, sub, text) to (bucket, kind, data): packed signatures by bucket; nodes and members of spread groups as they are."""
 
     def run(batches):
         shingler = shingles.Shingler()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         known: set[int] = set()
         amount, turn = 0, 0
 
@@ -211,33 +191,33 @@ def send(buckets: int):
             turn += 1
             return (turn * 7919 + TaskContext.get().partitionId() * 104729) % buckets, kind, b"".join(np.ascontiguousarray(c, np.int64).tobytes() for c in columns)
 
+        def sent(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "data"])
+
         def flush():
-            sig, node, slack = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = []
-            bucket = (sig >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
-            order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.uint32), kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            sig = sig & np.uint64((1 << 40) - 1)
-            for b in range(buckets):
-                at = order[bounds[b] : bounds[b + 1]]
-                if not len(at):
-                    continue
-                s, x, y = sig[at], node[at], slack[at]
-                shared, nodes, slacks, starts, sizes = runs(s, x, y)
-                hot = hot_rows(shared, nodes, slacks, starts, sizes, b, buckets)
-                if hot:  # of a group that is hot here, only enough to show it goes on
-                    out += [raw(k, columns) for k, *columns in hot]
-                    big = shared[starts[sizes > SMALL]]
-                    keep = ~np.isin(s, big)
-                    few = np.concatenate([np.arange(p, p + SMALL + 1) for p in starts[sizes > SMALL]])
-                    s, x, y = (np.concatenate([p[keep], q[few]]) for p, q in ((s, shared), (x, nodes), (y, slacks)))
-                out.append((b, PAIR, pack(s, x, y)))
+            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             known.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "kind", "data"])
+            out = []
+            bucket = ((sig >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16 if buckets < 65536 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(bounds)).tolist():
+                at = order[bounds[b] : bounds[b + 1]]
+                s, x = sig[at] & np.uint64((1 << 40) - 1), node[at]
+                own, starts, sizes = groups(s, x)
+                s, x = s[own], x[own]
+                spread = np.repeat(sizes > SMALL, sizes)
+                if spread.any():
+                    goes_on = ~spread
+                    goes_on[starts] = True
+                    out.append(raw(SPREAD, (group_name(s[~goes_on], b, buckets).view(np.int64), x[~goes_on])))
+                    s, x, spread = s[goes_on], x[goes_on], spread[goes_on]
+                out.append((b, PACKED, pack(s, x, spread)))
+            return sent(out)
 
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids, subs = (batch.column(c).to_numpy() for c in ("doc_id", "sub"))
             for lo, hi, data, ends in shingles.chunked(batch.column("text")):
                 sets, counts = shingler.sets(data, ends)
                 stops = np.cumsum(counts)
@@ -250,10 +230,9 @@ def send(buckets: int):
                 sig, owner, left = signatures(sets[np.repeat(fresh, counts)], counts[fresh])
                 slack = np.full(len(nodes), 1 << 20, np.int64)
                 slack[fresh] = left
-                held.append((sig, nodes[fresh][owner], np.clip(left, -999, 32767)[owner]))
+                held.append((sig, nodes[fresh][owner]))
                 amount += len(sig)
-                b, k, d = raw(NODE, (ids[lo:hi], nodes, counts, slack))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([k], pa.int32()), pa.array([d], pa.binary())], ["bucket", "kind", "data"])
+                yield sent([raw(NODE, (ids[lo:hi], subs[lo:hi], nodes, counts, slack))])
                 if amount >= FLUSH:
                     yield flush()
                     amount = 0
@@ -265,18 +244,27 @@ def send(buckets: int):
 
 
 def receive(buckets: int):
-    """(bucket, kind, data), buckets together, to ROWS."""
+    """(bucket, kind, data), buckets together, to ROWS: groups of two nodes and more, as lists or as members of spread groups."""
 
     def group(bucket, blobs):
         if not blobs:
             return
-        sig, node, slack = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-        sig, node, slack, starts, sizes = runs(sig, node, slack)
-        for kind, a, b, m in hot_rows(sig, node, slack, starts, sizes, bucket, buckets):
-            yield record(kind, a, b, m=m)
-        u, v, n, m = pair_rows(node, slack, starts, sizes)
-        if len(u):
-            yield record(PAIR, u, v, n, m)
+        sig, node, spread = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+        order, starts, sizes = groups(sig, node)
+        if not len(starts):
+            return
+        names, x = group_name(sig[order[starts]], bucket, buckets), node[order]
+        # A repeated (signature, node) may carry the bit only in one of its rows.
+        marked = np.isin(sig[order[starts]], np.unique(sig[spread])) | (sizes > LONGEST)
+        at = np.repeat(marked, sizes)
+        if at.any():
+            yield record(SPREAD, a=np.repeat(names, sizes)[at], b=x[at])
+        whole = ~marked & (sizes > 1)
+        if whole.any():
+            member, k = x[np.repeat(whole, sizes)], sizes[whole]
+            edges = np.concatenate([[0], np.cumsum(k)])
+            key = shingles.mix(np.add.reduceat(shingles.mix(member.view(np.uint64)), edges[:-1]) + k.astype(np.uint64))
+            yield record(LIST, a=key.view(np.int64), n=k, members=pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(member)))
 
     def run(batches):
         now, blobs = -1, []
@@ -285,21 +273,30 @@ def receive(buckets: int):
                 if bucket != now:
                     yield from group(now, blobs)
                     now, blobs = bucket, []
-                if kind == PAIR:
+                if kind == PACKED:
                     blobs.append(data)
+                elif kind == NODE:
+                    yield record(kind, **dict(zip("abcnm", np.frombuffer(data, np.int64).reshape(5, -1), strict=True)))
                 else:
-                    columns = np.frombuffer(data, np.int64).reshape(4 if kind == NODE else 3, -1)
-                    yield record(kind, *columns) if kind == NODE else record(kind, *columns[:2], m=columns[2])
+                    yield record(kind, **dict(zip("ab", np.frombuffer(data, np.int64).reshape(2, -1), strict=True)))
         yield from group(now, blobs)
 
     return run
 
 
+def documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, sub, text): doc_id NO_ID where it is null, sub a hash of the text."""
+    return common.texts(docs).fillna({"doc_id": NO_ID}).select("doc_id", F.xxhash64("text").alias("sub"), "text")
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df to broadcast if it has at most BROADCAST_ROWS rows, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, elements) of the wanted (node, rep): the shingle set, 8 bytes an element, of each representative."""
-    ids = wanted.select(F.col("rep").alias("id")).distinct()
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    """(node, elements) of the wanted (node, rep, sub): the shingle set, 8 bytes an element, of each representative."""
+    ids = bounded(wanted.select(F.col("rep").alias("id"), F.col("sub").alias("id_sub")))
 
     def run(batches):
         shingler = shingles.Shingler()
@@ -310,9 +307,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 each = [sets[z - c : z] for c, z in zip(counts, cut, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in each], pa.int64()), pa.array([s.tobytes() for s in each], pa.binary())], ["node", "elements"])
 
-    texts = common.texts(docs).fillna({"doc_id": NO_ID})
-    # An id that stands for several texts gives sets that no one asked for, or one set twice: links are made distinct.
-    return common.written(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "node long, elements binary"), "sets", BATCH)
+    texts = documents(docs)
+    found = texts.join(ids, (texts["doc_id"] == ids["id"]) & (texts["sub"] == ids["id_sub"]), "left_semi").select("text").mapInArrow(run, "node long, elements binary")
+    sets = common.written(found, "sets", BATCH)
+    # Repeated rows of a representative give its set again.
+    return sets if sets.count() <= wanted.count() else common.written(sets.dropDuplicates(["node"]), "sets")
 
 
 def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,13 +332,14 @@ def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     met = edges.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("elements").alias("su")), "u")
-    return met.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return common.written(met.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long"), "verified", BATCH)
 
 
-def rare_meetings(docs: DataFrame, heavy: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) of different components among the heavy (node, rep, size), by a prefix filter.
+def rare_meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of different components among sets, by a prefix filter.
 
     With each set ordered by rarity, a linked pair's first common shingle leaves room for 3/7 of both sizes.
+    Shingles of one set only come first and meet nothing, so they are only counted.
     """
 
     def split(batches):
@@ -347,83 +347,119 @@ def rare_meetings(docs: DataFrame, heavy: DataFrame, labels: DataFrame) -> DataF
             each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("elements")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(each, pa.list_(pa.int64()))], ["node", "elements"])
 
-    every = sets_of(docs, heavy).dropDuplicates(["node"]).join(heavy.select("node"), "node", "left_semi").select("node", "elements").mapInArrow(split, "node long, elements array<long>").select("node", F.size("elements").alias("size"), F.explode("elements").alias("x"))
-    held = every.groupBy("x").count().where("count > 1")
-    by_rarity = W.partitionBy("node").orderBy("count", "x")
-    ranked = every.join(held, "x", "left").fillna(1, ["count"]).select("node", "size", "x", "count", F.row_number().over(by_rarity).alias("place"))
-    ranked = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    prefix = common.written(ranked.where("place <= size - ceil(0.75 * size) + 1 AND count > 1").select("node", "size", "x", "place", "label"), "prefix", BATCH)
+    every = sets.mapInArrow(split, "node long, elements array<long>").select("node", F.size("elements").alias("size"), F.explode("elements").alias("x"))
+    held = every.groupBy("x").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    shared = every.join(held, "x")
+    own, by_rarity = W.partitionBy("node"), W.partitionBy("node").orderBy("count", "x")
+    ranked = shared.select("node", "size", "x", (F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(by_rarity)).alias("place"))
+    near = ranked.where("place <= size - ceil(0.75 * size) + 1").join(labels, "node", "left")
+    prefix = common.written(near.select("node", "size", "x", "place", F.coalesce("label", "node").alias("label")), "prefix", BATCH)
     a, b = (prefix.select(F.col("node").alias(e), F.col("size").alias(f"s{e}"), F.col("x").alias(f"x{e}"), F.col("place").alias(f"p{e}"), F.col("label").alias(f"l{e}")) for e in "uv")
     room = "7 * (1 + least(su - pu, sv - pv)) >= 3 * (su + sv)"
     met = a.join(b, F.expr(f"xu = xv AND u < v AND lu <> lv AND 4 * least(su, sv) >= 3 * greatest(su, sv) AND {room}"))
     return met.select("u", "v").distinct()
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n_shingles) for every row of docs, and (node, component_id) for every node but the empty set's."""
-    spark = docs.sparkSession
-    parts = common.partitions(spark)
-    buckets = FINE * parts
-    sent = common.texts(docs).mapInArrow(send(buckets), "bucket int, kind int, data binary")
-    rows = common.written(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive(buckets), ROWS), "signatures", BATCH)
-    members = rows.where(f"kind = {NODE}").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), F.col("m").alias("slack"))
-    nodes = common.written(members.where("node <> 0").groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID)).alias("rep"), F.min("slack").alias("slack"), F.max("n_shingles").alias("size")), "nodes")
-    hot = rows.where(f"kind = {HOT}").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
-    # Shared signatures: those of small groups, and all that were seen, stars of hot groups included.
-    seen = rows.where(f"kind IN ({PAIR}, {STAR})").groupBy(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = seen.agg(F.sum("n").alias("small"), F.sum(F.greatest("n", F.lit(1))).alias("total"), (1 + F.max("m")).alias("need"))
-    pairs = common.written(pairs, "pairs")
-
-    def ends(edges: DataFrame) -> DataFrame:
-        return edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
-
-    edges = common.written(pairs.where("total >= need").select("u", "v"), "edges")
-    links = common.written(verified(edges, sets_of(docs, ends(edges))).distinct(), "verified", BATCH)
-    labels = components.components(links)
-    # A linked pair that has not met enough misses signatures of hot groups. Groups within a component are settled.
-    placed = hot.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
-    unsettled = common.written(hot.join(mixed, "grp", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("open")), "unsettled")
-    weak = pairs.where("total < need AND small > 0")
-    placed = unsettled.join(labels, "node", "left").select("node", "open", F.coalesce("label", "node").alias("label"))
+def needing(members: DataFrame) -> DataFrame:
+    """members (grp, weight, node, need, ...) of the nodes that have as many signatures as they need."""
+    enough = members.groupBy("node").agg(F.sum("weight").alias("m"), F.max("need").alias("most")).where("m >= most").select("node")
+    return members.join(enough, "node", "left_semi")
+
+
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members of groups that hold several components, twice over, of nodes that have as many as they need there."""
+    placed = members.join(labels, "node", "left").select("grp", "weight", "node", "need", F.coalesce("label", "node").alias("label"))
+    for _ in range(2):  # a node that goes may settle a group; any number of turns is exact
+        mixed = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
+        placed = common.written(needing(placed.join(mixed, "grp", "left_semi")), "unsettled")
+    return placed
+
+
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (node, label) after the links found (u, v) between components and lone nodes."""
     for e in ("u", "v"):
-        own = placed.select(F.col("node").alias(f"n_{e}"), F.col("open").alias(f"open_{e}"), F.col("label").alias(f"label_{e}"))
-        weak = weak.join(own, (F.col(e) == F.col(f"n_{e}")) & (F.col("small") + F.col(f"open_{e}") >= F.col("need")))
-    weak = weak.where("label_u <> label_v").select("u", "v")
-    heavy = common.written(nodes.join(unsettled, "node", "left").where("coalesce(open, 0) > slack").select("node", "rep", "size"), "heavy")
-    if not heavy.isEmpty():
-        weak = weak.unionByName(rare_meetings(docs, heavy, labels))
-    more = common.written(weak.distinct(), "meetings")
-    if not more.isEmpty():
-        found = verified(more, sets_of(docs, ends(more)))
-        for e in ("u", "v"):  # links between components found so far
-            found = found.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")), e, "left")
-        across = found.select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v")).where("u <> v").distinct()
-        across = common.written(across, "verified", BATCH)
-        if not across.isEmpty():
-            merged = components.components(across)
-            again = merged.select(F.col("node").alias("old"), F.col("label").alias("new"))
-            moved = labels.join(again, labels["label"] == again["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
-            alone = merged.join(labels.select("node"), "node", "left_anti").select("node", "label")
-            labels = common.written(moved.unionByName(alone), "labels")
+        found = found.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")), e, "left")
+    across = common.written(found.select(F.coalesce("label_u", "u").alias("a"), F.coalesce("label_v", "v").alias("b")).where("a <> b").distinct(), "across")
+    if across.isEmpty():
+        return labels
+    joint = connected_components(across)
+    again = joint.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    moved = labels.join(again, labels["label"] == again["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
+    alone = joint.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return common.written(moved.unionByName(alone), "labels")
+
+
+def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, label) of every node that links with another; members: (grp, weight, size, node) of all groups."""
+    own = nodes.select("node", F.col("size").alias("own"), F.greatest(F.lit(1), F.col("slack") + 1).alias("need"))
+    live = needing(members.join(own, "node"))
+    degrees = members.groupBy("node").agg(F.sum(F.col("weight") * F.col("size")).alias("degree"))
+    live = common.written(live.join(degrees, "node").select("grp", "weight", "node", "own", "need", "degree"), "live")
+    # A tie goes to the larger hash.
+    centres = live.groupBy("grp").agg(F.max(F.struct("degree", "node", "own", "need")).alias("c"), F.count(F.lit(1)).alias("of")).where("of > 1").select("grp", "c.*")
+    centres = centres.select("grp", F.col("node").alias("centre"), F.col("own").alias("centre_own"), F.col("need").alias("centre_need"))
+    stars = live.join(centres, "grp").where("node <> centre AND 4 * least(own, centre_own) >= 3 * greatest(own, centre_own)")
+    edges = stars.groupBy("centre", "node").agg(F.sum("weight").alias("met"), F.max(F.greatest("need", "centre_need")).alias("need")).where("met >= need")
+    edges = common.written(edges.select(F.col("centre").alias("u"), F.col("node").alias("v")), "edges")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return nodes.join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi")
+
+    links = verified(edges, sets_of(docs, ends(edges)))
+    labels = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    rest = unsettled(live, labels).select("node").distinct()
+    left = sets_of(docs, nodes.join(rest, "node", "left_semi").unionByName(nodes.where("slack < 0")).dropDuplicates(["node"]))
+    more = common.written(rare_meetings(left, labels), "meetings")
+    return labels if more.isEmpty() else merged(labels, verified(more, left))
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sub, node, n_shingles) for every row of docs, and (node, label, component_id) for every node but the empty set's."""
+    texts = documents(docs)
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = common.partitions(docs.sparkSession)
+    buckets = max(FINE * parts, bytes_ // BUCKET_BYTES)
+    sent = texts.mapInArrow(send(buckets), "bucket int, kind int, data binary")
+    rows = sent.repartition(max(parts, buckets // FINE), "bucket").sortWithinPartitions("bucket").mapInArrow(receive(buckets), ROWS)
+    rows = common.written(rows, "signatures", BATCH)
+    own = rows.where(f"kind = {NODE}").select(F.col("a").alias("doc_id"), F.col("b").alias("sub"), F.col("c").alias("node"), F.col("n").alias("n_shingles"), F.col("m").alias("slack"))
+    nodes = own.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id") == NO_ID, "doc_id", "sub")).alias("first"), F.min("slack").alias("slack"), F.max("n_shingles").alias("size"))
+    nodes = common.written(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.sub").alias("sub"), "slack", "size"), "nodes")
+    lists = rows.where(f"kind = {LIST}").groupBy(F.col("a").alias("grp")).agg(F.count(F.lit(1)).alias("weight"), F.first("n").cast("long").alias("size"), F.first("members").alias("members"))
+    spread = rows.where(f"kind = {SPREAD}").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
+    sizes = spread.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = lists.select("grp", "weight", "size", F.explode("members").alias("node")).unionByName(spread.join(sizes, "grp").select("grp", F.lit(1).cast("long").alias("weight"), "size", "node"))
+    labels = linked(docs, nodes, common.written(members, "members"))
     lone = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = lone.groupBy(F.col("label").alias("of")).agg(F.coalesce(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))), F.lit(NO_ID)).alias("component_id"))
-    return members, lone.join(least, F.col("label") == F.col("of")).select("node", "component_id")
+    return own.drop("slack"), lone.join(least, F.col("label") == F.col("of")).select("node", "label", "component_id")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id (NO_ID for null), sub, n_shingles, component_id, label (of the component; 0 for no words) for every row of docs."""
+    members, found = classes(docs)
+    own = members.select("doc_id", "sub", "node", F.col("n_shingles").cast("long").alias("n_shingles"))
+    met = own.where("node <> 0").join(found, "node").select("doc_id", "sub", "n_shingles", "component_id", "label")
+    return met.unionByName(own.where("node = 0").select("doc_id", "sub", "n_shingles", F.col("doc_id").alias("component_id"), F.col("node").alias("label")))
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    members, found = classes(docs)
-    own = members.select(F.col("doc_id"), "node", F.col("n_shingles").cast("long").alias("n_shingles"))
-    met = own.where("node <> 0").join(found, "node").select("doc_id", "n_shingles", "component_id")
-    every = met.unionByName(own.where("node = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return every.select(known("doc_id"), "n_shingles", known("component_id"))
+    return placed(docs).select(known("doc_id"), "n_shingles", known("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the document of the least doc_id of each component; rows with a null doc_id stay."""
-    return common.without(docs, joined(docs).where("doc_id <> component_id"))
+    """docs with one document of each component: that of the least doc_id (null last), of several texts with it that
+    of the least hash. Rows without words stay; rows with one doc_id and one text stay or go together."""
+    own = placed(docs).where("label <> 0")
+    stays = own.groupBy("label").agg(F.min(F.struct(F.col("doc_id") == NO_ID, "doc_id", "sub")).alias("first"))
+    stays = stays.select(F.col("first.doc_id").alias("stay_id"), F.col("first.sub").alias("stay_sub"))
+    every = own.select("doc_id", "sub").distinct()
+    gone = every.join(stays, (every["doc_id"] == stays["stay_id"]) & (every["sub"] == stays["stay_sub"]), "left_anti")
+    gone = bounded(common.written(gone.select(F.col("doc_id").alias("__gone"), F.col("sub").alias("__sub")), "gone"))
+    own_id = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    return docs.join(gone, (own_id == F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__sub")), "left_anti")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -48,9 +48,10 @@ def texts(seed, families, passages):
     return rows
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_equals_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,longest", [(8, 4096), (2, 4096), (32, 3)])
+def test_equals_brute_force(spark, monkeypatch, small, longest):
     monkeypatch.setattr(nj, "SMALL", small)
+    monkeypatch.setattr(nj, "LONGEST", longest)
     rows = texts(small, 40, 2)
     rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "A b"), (1004, "a\tB"), (1005, "one two three four five"), (1006, "x " * 3000), (1007, rows[0][1])]
     df = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, node string, n_shingles int").repartition(3)
@@ -106,3 +107,28 @@ def test_hashes_are_of_the_bytes_alone():
     again.load(r[1000:])
     assert (hasher.every(100)[1000:] == again.every(100)).all()
     assert len(set(hasher.every(100).tolist())) == len({r[i : i + 100].tobytes() for i in range(4901)})
+
+
+def test_large_families_settle_without_pairs(spark):
+    """2,000 near copies of one text, from mild edits to such as link with some copies only, beside unlike texts that share a passage."""
+    r = random.Random(5)
+    word = lambda: r.choice("abcdefgh") + r.choice("xyz") + str(r.randrange(400))
+    base, passage = [word() for _ in range(120)], [word() for _ in range(20)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(3000 + i, " ".join([*(word() for _ in range(r.randint(30, 60))), *passage])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in nj.joined(df).collect()} == brute(rows)
+
+
+def test_keep_one_of_each_without_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "A b c d e f"), (None, "other text"), (4, "x y z u v w"), (4, "X y z u v w"), (4, "far from it"), (9, "x y z u v w"), (None, ""), (7, None)]
+    df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, node string")
+    kept = nj.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    texts = sorted(x.text.lower() if x.text else str(x.text) for x in kept.collect())
+    assert texts == sorted(["a b c d e f", "other text", "x y z u v w", "far from it", "", "None"])
