@@ -1,13 +1,13 @@
 """Benchmark decontamination by winnowing (DataFrame functions only).
 
 Words are hashed, GRAM neighbours are hashed together, and of each SLIDE neighbouring grams the least
-hash is a fingerprint. WINDOW = GRAM + SLIDE - 1 words always contain one, and equal words give equal
-ones, so a document that holds a benchmark window shares a fingerprint with it. Fingerprints of all
-documents meet those of the benchmark; in the documents that meet any, hits are extended to whole
-windows and compared as text. Items shorter than a window are one window of their own length,
+hash is a fingerprint, kept with its place. WINDOW = GRAM + SLIDE - 1 words always contain one, and equal words give equal
+ones, so where a document holds a benchmark window it has the window's fingerprint, at most SLIDE - 1 words after the
+window's start. Fingerprints of all documents meet those of the benchmark; from the places where they meet, hits are extended
+to the windows around and compared as text. Items shorter than a window are one window of their own length,
 fingerprinted whole.
 
-The benchmark's fingerprints and windows, and the ids of documents that meet any, are broadcast only
+The benchmark's fingerprints and windows, and the places where documents meet them, are broadcast only
 when counted and at most BROADCAST_ROWS; beyond that the same joins shuffle.
 
 Defined results: null texts have no words (n_words 0, nothing hit) and wordless items no windows; null
@@ -46,23 +46,42 @@ def grams(hashes: str, length: int) -> Column:
     return F.when(n >= length, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
-    """df, which has words, with the column prints: distinct least hashes, and whole runs of the short lengths."""
+def fingerprinted(df: DataFrame, short: list[int]) -> DataFrame:
+    """df, which has words, with picks, (print, place, length) of each: least hashes, and whole runs of the short lengths.
+
+    length is that of the windows which a print stands for. Of equal least hashes every place is picked.
+    """
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     df = df.withColumn("grams", grams("hashes", GRAM))
     g = F.col("grams")
     least = F.transform(g, lambda x, i: F.least(x, *(F.get(g, i + j) for j in range(1, SLIDE))))
-    return df.withColumn("prints", F.array_distinct(F.concat(least, *(grams("hashes", m) for m in short)))).drop("hashes", "grams")
+    df = df.withColumn("least", F.slice(least, F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
+    picked = lambda m: lambda x, i: F.struct(x.alias("print"), i.alias("place"), F.lit(m).alias("length"))
+    # A gram is the least of some window if it is the greatest of the least hashes of the windows that hold it.
+    own = F.filter(F.transform(g, picked(WINDOW)), lambda e: e["print"] == F.greatest(*(F.get("least", e["place"] - j) for j in range(SLIDE))))
+    whole = [F.transform(grams("hashes", m), picked(m)) for m in short]
+    return df.withColumn("picks", F.concat(own, *whole)).drop("hashes", "grams", "least")
+
+
+def windows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, length, window (its words joined by spaces) of every (start from 0, length) in the column spans."""
+    each = df.select(*keys, "words", F.explode("spans").alias("span"))
+    text = F.array_join(F.slice("words", F.col("span.start") + 1, F.col("span.length")), " ")
+    return each.select(*keys, "span.start", "span.length", text.alias("window"))
+
+
+def span(start, length) -> Column:
+    return F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"))
+
 
+def around(places: Column, n: Column) -> Column:
+    """The spans of whole windows of a text of n words that places, (place, length) of picks, can lie in."""
+    def spans(p):
+        first = F.when(p["length"] == WINDOW, F.greatest(F.lit(0), p["place"] - (SLIDE - 1))).otherwise(p["place"])
+        last = F.least(p["place"], n - p["length"])
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda s: span(s, p["length"]))).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
 
-def windows(df: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
-    """keys, start, length, window (its words joined by spaces) of every run of the given lengths."""
-    found = None
-    for m in lengths:
-        some = df.where(F.size("words") >= m).select(*keys, "words", F.explode(F.sequence(F.lit(1), F.size("words") - m + 1)).alias("start"))
-        some = some.select(*keys, "start", F.lit(m).alias("length"), F.array_join(F.slice("words", F.col("start"), F.lit(m)), " ").alias("window"))
-        found = some if found is None else found.unionByName(some)
-    return found
+    return F.array_distinct(F.flatten(F.transform(places, spans)))
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -88,27 +107,28 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty = F.sha2(F.lit(""), 256)
     if not lengths:
         return own.select("doc_id", "sub", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    item_windows = None
-    for m in lengths:
-        some = windows(items.where(F.size("words") >= WINDOW if m == WINDOW else F.size("words") == m), ["item_id"], [m])
-        item_windows = some if item_windows is None else item_windows.unionByName(some)
-    item_windows = common.written(item_windows.select("item_id", "window").distinct(), "windows")
-    # A window is fingerprinted like a document: exactly one least hash, or its own whole hash.
-    apart = item_windows.select("window").distinct().select("window", F.split("window", " ").alias("words"))
-    long_ones = fingerprints(apart.where(F.size("words") == WINDOW), []).select(F.explode(F.slice("prints", 1, 1)).alias("print"))
-    prints = long_ones
-    for m in short:
-        whole = apart.where(F.size("words") == m).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-        prints = prints.union(whole.select(F.explode(grams("hashes", m))))
-    prints = bounded(common.written(prints.distinct(), "prints")).select("print", F.lit(1).alias("met"))
+    m = F.least(F.size("words"), F.lit(WINDOW))
+    every = F.transform(F.sequence(F.lit(0), F.size("words") - m), lambda i: span(i, m))
+    item_windows = common.written(windows(items.withColumn("spans", every), ["item_id"]).select("item_id", "window").distinct(), "windows")
+    # A window is fingerprinted like a document: it has its least hash, or its own whole hash.
+    apart = item_windows.select("window").distinct().select(F.split("window", " ").alias("words"))
+    prints = fingerprinted(apart, short).select("words", F.explode("picks").alias("pick")).where(F.col("pick.length") == F.least(F.size("words"), F.lit(WINDOW)))
+    prints = bounded(common.written(prints.select("pick.print").distinct(), "prints")).select("print", F.lit(1).alias("met"))
     # One pass over the texts: a row for each fingerprint, and one without for the number of words.
-    marked = fingerprints(own, short).select("doc_id", "sub", F.size("words").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "prints")).alias("print"))
+    none = F.lit(None).cast("struct<print:bigint,place:int,length:int>")
+    marked = fingerprinted(own, short).select("doc_id", "sub", F.size("words").alias("n_words"), F.explode(F.concat(F.array(none), "picks")).alias("pick")).select("doc_id", "sub", "n_words", "pick.*")
     met = marked.join(prints, "print", "left").where("print IS NULL OR met = 1")
-    flags = common.written(met.groupBy("doc_id", "sub").agg(F.max("n_words").cast("long").alias("n_words"), F.max("met").alias("met"), F.count_if(F.col("print").isNull()).alias("rows")), "flags")
-    suspects = bounded(flags.where("met = 1").select(F.col("doc_id").alias("id"), F.col("sub").alias("id_sub")))
-    near = documents(docs).join(suspects, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sub") == F.col("id_sub")), "left_semi").select("doc_id", "sub", words(F.col("text")).alias("words"))
-    found = windows(near, ["doc_id", "sub"], lengths).join(bounded(item_windows.select("window").distinct()), "window", "left_semi")
-    found = common.written(found.select("doc_id", "sub", "start", "length", "window"), "hits")
+    met = common.written(met.groupBy("doc_id", "sub", "place", "length").agg(F.max("n_words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("rows")), "met")
+    flags = met.where("place IS NULL").select("doc_id", "sub", "n_words", "rows")
+    # A document's places are at most as many as its words and their lengths; all of them are counted before a broadcast.
+    places = met.where("place IS NOT NULL").select("doc_id", "sub", "place", "length")
+    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    suspects = places.groupBy(F.col("doc_id").alias("id"), F.col("sub").alias("id_sub")).agg(F.collect_list(F.struct("place", "length")).alias("places"))
+    suspects = common.written(suspects, "suspects")
+    suspects = F.broadcast(suspects) if few else suspects
+    near = documents(docs).join(suspects, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sub") == F.col("id_sub"))).select("doc_id", "sub", words(F.col("text")).alias("words"), "places")
+    found = windows(near.withColumn("spans", around(F.col("places"), F.size("words"))), ["doc_id", "sub"]).join(bounded(item_windows.select("window").distinct()), "window", "left_semi")
+    found = common.written(found.select("doc_id", "sub", "start", "length", "window").distinct(), "hits")
     each = flags.select("doc_id", "sub", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))
     same = lambda name: each["doc_id"].eqNullSafe(F.col(f"{name}_doc")) & (each["sub"] == F.col(f"{name}_sub"))
     return each.join(covered(found), same("hit"), "left").join(item_lists(found, item_windows), same("item"), "left").select(
@@ -119,7 +139,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def covered(found: DataFrame) -> DataFrame:
     """hit_doc, hit_sub, n_hit: words of a document under its hits, each once."""
-    spans = found.groupBy("doc_id", "sub", "start").agg((F.col("start") + F.max("length")).alias("stop"))
+    spans = found.groupBy("doc_id", "sub", "start").agg((F.col("start") + F.max("length")).alias("stop"))  # of several lengths the longest
     before = W.partitionBy("doc_id", "sub").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
     return spans.select("doc_id", "sub", fresh.alias("fresh")).groupBy(F.col("doc_id").alias("hit_doc"), F.col("sub").alias("hit_sub")).agg(F.sum("fresh").alias("n_hit"))
