@@ -5,7 +5,9 @@ ends at the next sentence or line end, at the latest after CHUNK_MAX. A chunk's
 SHA-256. Identifiers are verified by bytes: distinct (identifier, chunk) pairs are counted, and an
 identifier that stands for two different chunks is replaced by the chunk itself. Documents are
 equal when their ordered lists of identifiers are. Chunk texts move once, after a map-side
-distinct; whole documents never move.
+distinct; whole documents never move. Lists are grouped after a map-side count; documents find their group by the
+SHA-256 of their list, or by the list itself if two lists have one (which is looked for). Groups of two and more are broadcast
+if they are at most BROADCAST_GROUPS rows of fixed size, so that a large group isn't brought to one task.
 
 Defined results: a null text counts as empty, and all empty texts are equal (their list is
 empty). A null doc_id loses against any other; a group of null ids only has keep_id null and keeps
@@ -23,6 +25,7 @@ from lodestar.llm import common
 CHUNK_MIN, CHUNK_MAX = 256, 1024
 #: More colliding identifiers than this stop the query; none has ever been seen for SHA-256.
 MOST_COLLISIONS = 64
+BROADCAST_GROUPS = 500_000
 
 
 def chunks(text: Column, least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> Column:
@@ -54,9 +57,16 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row; the largest doc_id of equal texts stays."""
-    listed = common.written(recipes(docs), "recipes")
-    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return listed.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    key = F.unhex(F.sha2(F.to_json("recipe").cast("binary"), 256))
+    listed = common.written(recipes(docs).withColumn("key", key), "recipes")
+    groups = common.written(listed.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    by = ["key"] if groups.groupBy("key").count().where("count > 1").isEmpty() else ["key", "recipe"]
+    several = groups.where("group_size > 1").select(*by, "keep_id", "group_size")
+    if by == ["key"] and several.count() <= BROADCAST_GROUPS:
+        several = F.broadcast(several)
+    size = F.coalesce("group_size", F.lit(1).cast("long"))
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return listed.join(several, by, "left").select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
