@@ -106,8 +106,9 @@ def schedule(docs: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """The mix in training order: with each document its copies and the position of the first (null if it has none)."""
     d = mixed(common.table(spark, sf_dir, "documents"))
-    return d.orderBy("position", "ord").select("doc_id", "size", "source_size", "target", "taken")
+    return d.orderBy("position", "ord").select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
 ORACLE = r"""
@@ -115,7 +116,8 @@ WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
-        ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::BIGINT AS weight
+        ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::BIGINT AS weight,
+        ([-0.5, 0.0, 0.5])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS trend
       FROM d GROUP BY source),
 fill AS (
   SELECT 0 AS step, source, source_size, weight, false AS is_full FROM s
@@ -130,11 +132,13 @@ t AS (
       / (sum(CASE WHEN NOT is_full THEN weight END) OVER ())::BIGINT END AS target
   FROM fill WHERE step = (SELECT count(*) FROM s)),
 r AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, (SELECT trend FROM s WHERE s.source IS NOT DISTINCT FROM d.source) AS a,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
     CASE WHEN t.source_size > 0 THEN floor(round(t.target) / t.source_size)::BIGINT ELSE 0 END AS epochs
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (epochs * size + greatest(0, least(size, round(target)::BIGINT - epochs * source_size - start)))::BIGINT AS taken
-FROM r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, greatest(0, least(size, round(target)::BIGINT - epochs * source_size - start))::BIGINT AS part, start::DOUBLE / greatest(target, 1.0) AS share FROM r),
+c AS (SELECT *, CASE WHEN size > 0 THEN epochs + (part > 0)::BIGINT ELSE 0 END::BIGINT AS copies FROM p)
+SELECT doc_id, size, source_size, target, (epochs * size + part)::BIGINT AS taken, copies,
+  CASE WHEN copies > 0 THEN CASE WHEN a = 0 THEN share ELSE 2 * share / ((1.0 - a) + sqrt((1.0 - a) * (1.0 - a) + 4 * a * share)) END END AS position
+FROM c
 """
