@@ -39,33 +39,46 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
-def grams(hashes: str, length: int) -> Column:
-    """Hashes of each run of length words; the length is part of what is hashed."""
-    h, n = F.col(hashes), F.size(hashes)
-    each = F.transform(F.sequence(F.lit(0), n - length), lambda i: F.xxhash64(F.lit(length), *(F.get(h, i + j) for j in range(length))))
-    return F.when(n >= length, each).otherwise(F.array().cast("array<bigint>"))
+def exploded(df: DataFrame, *columns, **arrays: str) -> DataFrame:
+    """columns and a row for each element of the array, as the name given to it.
+
+    Not explode(): for that the optimizer infers that the array isn't empty, and computes it, and what it is made from, once more.
+    """
+    (array, name), = arrays.items()
+    return df.select(*columns, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, wherever body uses it: the optimizer would write it out again within a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def fingerprinted(df: DataFrame, short: list[int]) -> DataFrame:
-    """df, which has words, with picks, (print, place, length) of each: least hashes, and whole runs of the short lengths.
+def grams(h: Column, length: int) -> Column:
+    """Hashes of each run of length hashes of h; the length is part of what is hashed."""
+    each = F.transform(F.sequence(F.lit(0), F.size(h) - length), lambda i: F.xxhash64(F.lit(length), *(F.get(h, i + j) for j in range(length))))
+    return F.when(F.size(h) >= length, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def picks(words: Column, short: list[int]) -> Column:
+    """(print, place, length) of a text's fingerprints: least hashes, and whole runs of the short lengths.
 
     length is that of the windows which a print stands for. Of equal least hashes every place is picked.
     """
-    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("grams", grams("hashes", GRAM))
-    g = F.col("grams")
-    least = F.transform(g, lambda x, i: F.least(x, *(F.get(g, i + j) for j in range(1, SLIDE))))
-    df = df.withColumn("least", F.slice(least, F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
     picked = lambda m: lambda x, i: F.struct(x.alias("print"), i.alias("place"), F.lit(m).alias("length"))
-    # A gram is the least of some window if it is the greatest of the least hashes of the windows that hold it.
-    own = F.filter(F.transform(g, picked(WINDOW)), lambda e: e["print"] == F.greatest(*(F.get("least", e["place"] - j) for j in range(SLIDE))))
-    whole = [F.transform(grams("hashes", m), picked(m)) for m in short]
-    return df.withColumn("picks", F.concat(own, *whole)).drop("hashes", "grams", "least")
+
+    def of_windows(g: Column) -> Column:
+        least = F.transform(g, lambda x, i: F.least(x, *(F.get(g, i + j) for j in range(1, SLIDE))))
+        whole = F.slice(least, F.lit(1), F.greatest(F.size(g) - (SLIDE - 1), F.lit(0)))
+        # A gram is the least of some window if it is the greatest of the least hashes of the windows that hold it.
+        return bound(whole, lambda m: F.filter(F.transform(g, picked(WINDOW)), lambda e: e["print"] == F.greatest(*(F.get(m, e["place"] - j) for j in range(SLIDE)))))
+
+    own = lambda h: F.concat(bound(grams(h, GRAM), of_windows), *(F.transform(grams(h, m), picked(m)) for m in short))
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), own)
 
 
 def windows(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, start, length, window (its words joined by spaces) of every (start from 0, length) in the column spans."""
-    each = df.select(*keys, "words", F.explode("spans").alias("span"))
+    each = exploded(df, *keys, "words", spans="span")
     text = F.array_join(F.slice("words", F.col("span.start") + 1, F.col("span.length")), " ")
     return each.select(*keys, "span.start", "span.length", text.alias("window"))
 
@@ -112,11 +125,11 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_windows = common.written(windows(items.withColumn("spans", every), ["item_id"]).select("item_id", "window").distinct(), "windows")
     # A window is fingerprinted like a document: it has its least hash, or its own whole hash.
     apart = item_windows.select("window").distinct().select(F.split("window", " ").alias("words"))
-    prints = fingerprinted(apart, short).select("words", F.explode("picks").alias("pick")).where(F.col("pick.length") == F.least(F.size("words"), F.lit(WINDOW)))
+    prints = exploded(apart.withColumn("picks", picks(F.col("words"), short)), "words", picks="pick").where(F.col("pick.length") == F.least(F.size("words"), F.lit(WINDOW)))
     prints = bounded(common.written(prints.select("pick.print").distinct(), "prints")).select("print", F.lit(1).alias("met"))
     # One pass over the texts: a row for each fingerprint, and one without for the number of words.
     none = F.lit(None).cast("struct<print:bigint,place:int,length:int>")
-    marked = fingerprinted(own, short).select("doc_id", "sub", F.size("words").alias("n_words"), F.explode(F.concat(F.array(none), "picks")).alias("pick")).select("doc_id", "sub", "n_words", "pick.*")
+    marked = own.select("doc_id", "sub", F.size("words").alias("n_words"), F.explode_outer(F.concat(F.array(none), picks(F.col("words"), short))).alias("pick")).select("doc_id", "sub", "n_words", "pick.*")
     met = marked.join(prints, "print", "left").where("print IS NULL OR met = 1")
     met = common.written(met.groupBy("doc_id", "sub", "place", "length").agg(F.max("n_words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("rows")), "met")
     flags = met.where("place IS NULL").select("doc_id", "sub", "n_words", "rows")
