@@ -40,7 +40,8 @@ def identifier(chunk: Column) -> Column:
 
 def collisions(docs: DataFrame) -> Column:
     """One array: the identifiers that stand for more than one chunk (a scalar subquery)."""
-    pairs = docs.select(F.explode(chunks(F.col("text"))).alias("chunk")).select(identifier(F.col("chunk")).alias("id"), "chunk").distinct()
+    # Not explode(), for which the optimizer would cut every text twice to see whether it has chunks.
+    pairs = docs.select(F.explode_outer(chunks(F.col("text"))).alias("chunk")).where("chunk IS NOT NULL").select(identifier(F.col("chunk")).alias("id"), "chunk").distinct()
     twice = pairs.groupBy("id").count().where("count > 1").select("id").limit(MOST_COLLISIONS + 1)
     found = twice.agg(F.collect_list("id").alias("ids"))
     return found.select(F.when(F.size("ids") > MOST_COLLISIONS, F.raise_error(F.lit("too many identifier collisions"))).otherwise(F.col("ids"))).scalar()
