@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.sources.shared import shared_dir
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,6 +26,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def in_workers(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with a worker's free memory given back to the system when a task ends: workers stay for later tasks."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _setting = threading.RLock()
 
@@ -48,6 +67,11 @@ def written(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(texts: DataFrame) -> int:
+    """Bytes of the column text, by which buckets are sized."""
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions, which a cluster sizes with its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -274,7 +274,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.transform(common.in_workers, run, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:

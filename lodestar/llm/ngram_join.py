@@ -308,7 +308,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in each], pa.int64()), pa.array([s.tobytes() for s in each], pa.binary())], ["node", "elements"])
 
     texts = documents(docs)
-    found = texts.join(ids, (texts["doc_id"] == ids["id"]) & (texts["sub"] == ids["id_sub"]), "left_semi").select("text").mapInArrow(run, "node long, elements binary")
+    found = texts.join(ids, (texts["doc_id"] == ids["id"]) & (texts["sub"] == ids["id_sub"]), "left_semi").select("text").transform(common.in_workers, run, "node long, elements binary")
     sets = common.written(found, "sets", BATCH)
     # Repeated rows of a representative give its set again.
     return sets if sets.count() <= wanted.count() else common.written(sets.dropDuplicates(["node"]), "sets")
@@ -332,7 +332,7 @@ def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     met = edges.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("elements").alias("su")), "u")
-    return common.written(met.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long"), "verified", BATCH)
+    return common.written(met.select("u", "v", "su", "sv").transform(common.in_workers, run, "u long, v long"), "verified", BATCH)
 
 
 def rare_meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def rare_meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
             each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("elements")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(each, pa.list_(pa.int64()))], ["node", "elements"])
 
-    every = sets.mapInArrow(split, "node long, elements array<long>").select("node", F.size("elements").alias("size"), F.explode("elements").alias("x"))
+    every = sets.transform(common.in_workers, split, "node long, elements array<long>").select("node", F.size("elements").alias("size"), F.explode("elements").alias("x"))
     held = every.groupBy("x").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     shared = every.join(held, "x")
     own, by_rarity = W.partitionBy("node"), W.partitionBy("node").orderBy("count", "x")
@@ -416,11 +416,10 @@ def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sub, node, n_shingles) for every row of docs, and (node, label, component_id) for every node but the empty set's."""
     texts = documents(docs)
-    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = common.partitions(docs.sparkSession)
-    buckets = max(FINE * parts, bytes_ // BUCKET_BYTES)
-    sent = texts.mapInArrow(send(buckets), "bucket int, kind int, data binary")
-    rows = sent.repartition(max(parts, buckets // FINE), "bucket").sortWithinPartitions("bucket").mapInArrow(receive(buckets), ROWS)
+    buckets = max(FINE * parts, common.text_bytes(texts) // BUCKET_BYTES)
+    sent = texts.transform(common.in_workers, send(buckets), "bucket int, kind int, data binary")
+    rows = sent.repartition(max(parts, buckets // FINE), "bucket").sortWithinPartitions("bucket").transform(common.in_workers, receive(buckets), ROWS)
     rows = common.written(rows, "signatures", BATCH)
     own = rows.where(f"kind = {NODE}").select(F.col("a").alias("doc_id"), F.col("b").alias("sub"), F.col("c").alias("node"), F.col("n").alias("n_shingles"), F.col("m").alias("slack"))
     nodes = own.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id") == NO_ID, "doc_id", "sub")).alias("first"), F.min("slack").alias("slack"), F.max("n_shingles").alias("size"))

@@ -243,7 +243,7 @@ def found_in(docs: DataFrame) -> DataFrame:
             rest = [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, *rest], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return common.texts(docs).transform(common.in_workers, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

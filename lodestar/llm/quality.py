@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Voters:
             rows = [terms(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["label", "cols", "counts"])
 
-    got = labelled.with_texts(docs, chosen).mapInArrow(extract, "label int, cols array<int>, counts array<int>").toArrow()
+    got = labelled.with_texts(docs, chosen).transform(common.in_workers, extract, "label int, cols array<int>, counts array<int>").toArrow()
     rows = sorted(((y, np.asarray(c, np.int64), np.asarray(n, np.int64)) for y, c, n in zip(*(got.column(x).to_pylist() for x in ("label", "cols", "counts")), strict=True)), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     return Voters([r[1:] for r in rows], np.array([r[0] for r in rows], np.float64), counts)
 
@@ -154,7 +154,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s.append(voters.score([terms(t) for t in texts.slice(at, BLOCK).to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *s]), pa.float64())], ["doc_id", "score"])
 
-    scored = common.texts(docs).mapInArrow(run, "doc_id long, score double")
+    scored = common.texts(docs).transform(common.in_workers, run, "doc_id long, score double")
     return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -44,7 +44,9 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1
 HOT = 32
 FLUSH = 1_500_000
+#: Buckets for each shuffle partition, at least; and bytes of text for each bucket, at most.
 FINE = 4
+BUCKET_BYTES = 4_000_000
 #: Bytes of a piece of a long text, and of contexts whose suffixes are sorted together.
 PIECE = 4_000_000
 SORTED = 600_000
@@ -523,14 +525,15 @@ def listed(rows: DataFrame, *columns: str) -> DataFrame:
 def gone_stretches(docs: DataFrame) -> DataFrame:
     """(doc, sub, lo, n): stretches of bytes to remove, overlapping ones included."""
     parts = common.partitions(docs.sparkSession)
-    buckets = FINE * parts
     texts = documents(docs)
-    blobs = texts.mapInArrow(send_contexts(buckets), "bucket int, kind int, data binary")
-    rows = common.written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive_contexts(buckets), ROWS), "contexts")
+    buckets = max(FINE * parts, common.text_bytes(texts) // BUCKET_BYTES)
+    parts = max(parts, buckets // FINE)
+    blobs = texts.transform(common.in_workers, send_contexts(buckets), "bucket int, kind int, data binary")
+    rows = common.written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").transform(common.in_workers, receive_contexts(buckets), ROWS), "contexts")
     wanted = common.written(listed(rows.where(f"kind <> {GONE}"), "lo", "n", "grp", "kind"), "requests")
     near = beside(texts, wanted).select("doc_id", "sub", "text", "los", "ns", "grps", "kinds")
-    fetched = near.mapInArrow(send_bytes(buckets), "bucket int, kind int, data binary")
-    more = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(receive_bytes(), ROWS)
+    fetched = near.transform(common.in_workers, send_bytes(buckets), "bucket int, kind int, data binary")
+    more = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").transform(common.in_workers, receive_bytes(), ROWS)
     return rows.where(f"kind = {GONE}").select("doc", "sub", "lo", "n").unionByName(more.select("doc", "sub", "lo", "n"))
 
 
@@ -538,7 +541,7 @@ def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     texts = documents(docs)
     lists = common.written(listed(gone_stretches(docs), "lo", "n"), "gone")
-    done = beside(texts, lists).select("doc_id", "sub", "text", "los", "ns").mapInArrow(cut, "doc long, sub long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "sub"])
+    done = beside(texts, lists).select("doc_id", "sub", "text", "los", "ns").transform(common.in_workers, cut, "doc long, sub long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "sub"])
     own = common.texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), F.xxhash64("text").alias("own_sub"))
     found = own.join(done, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (F.col("own_sub") == F.col("sub")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

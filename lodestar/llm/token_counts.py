@@ -107,7 +107,7 @@ def counted(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([counter.text(t) for t in b.column("text").to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, n_tokens long")
+    return common.texts(docs).transform(common.in_workers, run, "doc_id long, n_tokens long")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

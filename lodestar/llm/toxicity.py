@@ -36,6 +36,8 @@ EPOCHS = 12
 TRUE_SHARES = 0.4
 MISSED_COST = 4
 MODULUS, HELD = 5, 0
+#: Texts that a worker unpacks at once.
+SLICE = 500
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -136,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
             rows = [terms(t, buckets) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["label", "terms"])
 
-    sampled = common.written(labelled.with_texts(docs, chosen).mapInArrow(extract, "label int, terms array<int>"), "sample")
+    sampled = common.written(labelled.with_texts(docs, chosen).transform(common.in_workers, extract, "label int, terms array<int>"), "sample")
     kept = most_uneven(sampled)
 
     def reduce(batches):
@@ -144,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Machine:
             rows = [np.intersect1d(np.asarray(x.values), kept, assume_unique=True) for x in b.column("terms")]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["label", "terms"])
 
-    got = sampled.mapInArrow(reduce, sampled.schema).toArrow()
+    got = sampled.transform(common.in_workers, reduce, sampled.schema).toArrow()
     rows = [np.asarray(x, np.int64) for x in got.column("terms").to_pylist()]
     y = np.array(got.column("label").to_pylist(), np.float32)
     order = sorted(range(len(rows)), key=lambda i: (float(y[i]), rows[i].tobytes()))  # whatever order tasks end in
@@ -158,10 +160,10 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         buckets, machine = labelled.Buckets(BITS), model.value
         for b in batches:
-            s = machine.score([terms(t, buckets) for t in b.column("text").to_pylist()])
+            s = np.concatenate([machine.score([terms(t, buckets) for t in b.column("text").slice(at, SLICE).to_pylist()]) for at in range(0, max(1, b.num_rows), SLICE)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    scored = common.texts(docs).mapInArrow(run, "doc_id long, score double")
+    scored = common.texts(docs).transform(common.in_workers, run, "doc_id long, score double")
     return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -172,10 +174,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         buckets, machine = labelled.Buckets(BITS), model.value
         for b in batches:
-            s = machine.score([terms(t or "", buckets) for t in b.column("text").to_pylist()])
+            s = np.concatenate([machine.score([terms(t or "", buckets) for t in b.column("text").slice(at, SLICE).to_pylist()]) for at in range(0, max(1, b.num_rows), SLICE)])
             yield b.filter(pa.array([x < 0.5 for x in s], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(common.in_workers, run, docs.schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
