@@ -12,12 +12,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.terms import FALSE as FALSE_TRIPLE
 from lodestar.functions.terms import SAME, literal, name
 from lodestar.operators import graphs
 from lodestar.operators.lists import list_table
 from lodestar.plans import engine
+from lodestar.plans.axioms import axioms as owl_axioms
 from lodestar.plans.rules import CLAUSES
 from lodestar.sources import lift
+from lodestar.sources.shared import written
 
 
 def ex(local: str) -> str:
@@ -183,35 +186,81 @@ def transitive_by_doubling(spark, sf_dir: str) -> DataFrame:
     return graphs.transitive_closure(t.select(F.col("s").alias("a"), F.col("o").alias("b"))).select(F.col("a").alias("s"), F.lit(ex("nextTurn")).alias("p"), F.col("b").alias("o"))
 
 
-def _slice(spark, sf_dir: str) -> DataFrame:
-    """A small graph in which rules of every family meet."""
-    t = lift.graph(spark, sf_dir, ["nation_region", "borders", "nation_type", "called"], [*PLACES, *triples("<ex:borders> rdf:type owl:SymmetricProperty\n<ex:NationOf/0> rdfs:subClassOf <ex:Nation>\n<ex:NationOf/1> owl:equivalentClass <ex:American>")])
-    return t.select("s", "p", "o", F.lit("urn:g").alias("g"))
+#: The whole reasoner runs with its default options on customers, suppliers, parts and places, which grow with the tables.
+WORLD = ["cust_nation", "supp_nation", "nation_region", "brand", "brand_class", "maker_class"]
+WORLD_SCHEMA = [
+    *PLACES,
+    *triples("<ex:locatedIn> owl:inverseOf <ex:contains>\n<ex:locatedIn> rdfs:subPropertyOf <ex:near>\n<ex:near> rdf:type owl:SymmetricProperty\n<ex:Place> owl:equivalentClass <ex:Site>\n<ex:Place> owl:disjointWith <ex:Product>"),
+]
+MARKED = ["good", "toxic"]
+MARKED_SCHEMA = triples("<ex:HighQuality> owl:disjointWith <ex:Toxic>\n<ex:HighQuality> rdfs:subClassOf <ex:Readable>")
+G = ["urn:g"]
 
 
-def _reasoner(spark) -> engine.OwlRlReasoner:
-    return engine.OwlRlReasoner(spark, equality_ref=False, datatype_joins=False)
+def quads(spark, sf_dir: str, lifts: list[str], schema: list[tuple[str, str, str]]) -> DataFrame:
+    """The lifts in graph urn:g, and a triple of another graph that no query may use."""
+    own = lift.graph(spark, sf_dir, lifts, schema).select("s", "p", "o", F.lit("urn:g").alias("g"))
+    other = spark.createDataFrame([(ex("region/0"), ex("locatedIn"), ex("elsewhere"), "urn:other")], "s string, p string, o string, g string")
+    return own.unionByName(other)
 
 
 def owl_closure(spark, sf_dir: str) -> DataFrame:
-    return _reasoner(spark).infer(_slice(spark, sf_dir), ["urn:g"])
+    """All that the rules infer."""
+    return engine.OwlRlReasoner(spark).infer(quads(spark, sf_dir, WORLD, WORLD_SCHEMA), G)
 
 
 def provenance_all(spark, sf_dir: str) -> DataFrame:
-    return _reasoner(spark).provenance_all(_slice(spark, sf_dir), ["urn:g"])
+    """Each inferred triple and whether it is explained: it has premises, all of them seeds or inferred in earlier rounds."""
+    found = written(engine.OwlRlReasoner(spark).provenance_all(quads(spark, sf_dir, WORLD, WORLD_SCHEMA), G), "provenance")
+    each = found.select("s", "p", "o", "origin", "round", F.explode_outer("premises").alias("q"))
+    earlier = found.select(F.col("s").alias("qs"), F.col("p").alias("qp"), F.col("o").alias("qo"), F.col("round").alias("before"))
+    met = each.join(earlier, (F.col("q.s") == F.col("qs")) & (F.col("q.p") == F.col("qp")) & (F.col("q.o") == F.col("qo")), "left")
+    inferred = (F.col("q.origin") == "inference") & (F.col("before") < F.col("round"))
+    good = F.coalesce(F.when(F.col("q.origin").isin("source", "axiom"), F.col("before").isNull()).otherwise(inferred), F.lit(False))
+    return met.groupBy("s", "p", "o", "origin").agg(F.bool_and(good).alias("explained"))
 
 
 def provenance_for(spark, sf_dir: str) -> DataFrame:
-    return _reasoner(spark).provenance_for(_slice(spark, sf_dir), ["urn:g"], (ex("nation/0"), name("rdf:type"), ex("Place")))
+    """What rests below one triple: a customer's region."""
+    region = spark.sql(lift.terms_in("SELECT concat('<ex:region/', n_regionkey, '>') FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey = 1"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation")}).first()[0]
+    found = engine.OwlRlReasoner(spark).provenance_for(quads(spark, sf_dir, WORLD, WORLD_SCHEMA), G, (ex("cust/1"), ex("locatedIn"), region))
+    return found.select("s", "p", "o", "origin", "rule", "depth")
 
 
 def report_all(spark, sf_dir: str) -> DataFrame:
-    return _reasoner(spark).report_all(_slice(spark, sf_dir), ["urn:g"]).results
+    """A result for each inferred triple, with the verdict on the whole graph."""
+    report = engine.OwlRlReasoner(spark).report_all(quads(spark, sf_dir, WORLD, WORLD_SCHEMA), G)
+    return report.results.select("target_graph", "severity", "detail.s", "detail.p", "detail.o", F.lit(report.consistent).alias("consistent"), F.lit(report.marker_consistent).alias("marker_consistent"))
+
+
+def report_for(spark, sf_dir: str) -> DataFrame:
+    """The result for the mark of inconsistency, where documents of high quality are disjoint from toxic ones."""
+    found = engine.OwlRlReasoner(spark).report_for(quads(spark, sf_dir, MARKED, MARKED_SCHEMA), G, FALSE_TRIPLE)
+    return found.select("target_graph", "severity", "detail.s", "detail.p", "detail.o", "detail.rule")
+
+
+def closure_sql() -> str:
+    """Tables base (sources and axioms) and final (all that holds) of the world, each family of rules as its own recursion."""
+    fixed = ", ".join("(" + ", ".join("'" + x + "'" for x in r) + ")" for r in owl_axioms())
+    return lift.graph_sql(WORLD, WORLD_SCHEMA) + lift.terms_in(f""",
+base AS (SELECT s, p, o FROM t UNION SELECT * FROM (VALUES {fixed}) v(s, p, o)),
+kinds AS (SELECT s FROM base WHERE p = '@rdf:type' AND o = '@owl:Class'),
+sub0 AS (SELECT s, o FROM base WHERE p IN ('@rdfs:subClassOf', '@owl:equivalentClass') UNION SELECT o, s FROM base WHERE p = '@owl:equivalentClass'
+         UNION SELECT s, s FROM kinds UNION SELECT s, '@owl:Thing' FROM kinds UNION SELECT '@owl:Nothing', s FROM kinds),
+sub AS (SELECT s, o FROM sub0 UNION SELECT sub.s, sub0.o FROM sub JOIN sub0 ON sub.o = sub0.s WHERE sub.s <> sub0.o),
+equal AS (SELECT a.s, a.o FROM sub a JOIN sub b ON a.s = b.o AND a.o = b.s),
+loc AS (SELECT s, o FROM base WHERE p = '<ex:locatedIn>' UNION SELECT loc.s, base.o FROM loc JOIN base ON base.p = '<ex:locatedIn>' AND base.s = loc.o WHERE loc.s <> base.o),
+facts AS (SELECT s, '<ex:locatedIn>' AS p, o FROM loc UNION SELECT o, '<ex:contains>', s FROM loc UNION SELECT s, '<ex:near>', o FROM loc UNION SELECT o, '<ex:near>', s FROM loc),
+dom AS (SELECT s, o FROM base WHERE p = '@rdfs:domain' UNION SELECT base.s, sub.o FROM base JOIN sub ON base.o = sub.s WHERE p = '@rdfs:domain'),
+typed AS (SELECT s, o FROM base WHERE p = '@rdf:type' UNION SELECT facts.s, dom.o FROM facts JOIN dom ON facts.p = dom.s),
+every AS (SELECT * FROM base UNION SELECT s, '@rdfs:subClassOf', o FROM sub UNION SELECT s, '@owl:equivalentClass', o FROM equal UNION SELECT * FROM facts
+          UNION SELECT s, '@rdfs:domain', o FROM dom UNION SELECT s, '@rdf:type', o FROM typed UNION SELECT typed.s, '@rdf:type', sub.o FROM typed JOIN sub ON typed.o = sub.s),
+final AS (SELECT * FROM every UNION SELECT x, '@owl:sameAs', x FROM (SELECT s AS x FROM every UNION SELECT p FROM every UNION SELECT o FROM every UNION SELECT '@owl:sameAs'))""")
 
 
 def queries() -> dict:
     found = {k: c.run for k, c in CASES.items()}
-    for f in (same_as_components, transitive_by_doubling, owl_closure, provenance_all, provenance_for, report_all):
+    for f in (same_as_components, transitive_by_doubling, owl_closure, provenance_all, provenance_for, report_all, report_for):
         found[f.__name__] = f
     return found
 
@@ -222,6 +271,15 @@ def oracle_sql() -> dict:
     found["transitive_by_doubling"] = f"{turn}, r AS (SELECT s, p, o FROM t UNION SELECT r.s, r.p, t.o FROM r JOIN t ON r.o = t.s) SELECT s, p, o FROM r"
     groups = "(SELECT s AS d, o AS g FROM t UNION SELECT o, o FROM t)"
     found["same_as_components"] = lift.graph_sql(["copies"], []) + lift.terms_in(f" SELECT DISTINCT x.d AS s, '@owl:sameAs' AS p, y.d AS o FROM {groups} x JOIN {groups} y ON x.g = y.g AND x.d <> y.d")
+    inferred = "SELECT s, p, o FROM final EXCEPT SELECT s, p, o FROM base"
+    found["owl_closure"] = f"{closure_sql()} {inferred}"
+    found["provenance_all"] = f"{closure_sql()} SELECT s, p, o, 'inference' AS origin, true AS explained FROM ({inferred})"
+    found["report_all"] = f"{closure_sql()} SELECT 'urn:g' AS target_graph, 'Info' AS severity, s, p, o, true AS consistent, true AS marker_consistent FROM ({inferred})"
+    way = "t a JOIN t b ON a.o = b.s AND b.p = a.p WHERE a.s = '<ex:cust/1>' AND a.p = '<ex:locatedIn>'"
+    found["provenance_for"] = lift.graph_sql(WORLD, WORLD_SCHEMA) + lift.terms_in(f"""
+SELECT a.s, a.p, b.o, 'inference' AS origin, 'prp-trp' AS rule, 0 AS depth FROM {way} UNION ALL SELECT a.s, a.p, a.o, 'source', NULL, 1 FROM {way}
+UNION ALL SELECT b.s, b.p, b.o, 'source', NULL, 1 FROM {way} UNION ALL SELECT s, p, o, 'source', NULL, 1 FROM t WHERE s = '<ex:locatedIn>' AND o = '@owl:TransitiveProperty'""")
+    found["report_for"] = lift.graph_sql(MARKED, MARKED_SCHEMA) + lift.terms_in(f" SELECT DISTINCT 'urn:g' AS target_graph, 'Violation' AS severity, {FALSE}, 'cax-dw' AS rule FROM t a JOIN t b ON a.s = b.s WHERE a.o = '<ex:HighQuality>' AND b.o = '<ex:Toxic>'")
     return found
 
 

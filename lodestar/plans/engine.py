@@ -103,8 +103,8 @@ class Reasoner:
                 order = [turn, *(i for i in range(len(c.body)) if i != turn)] if old is not None else list(range(len(c.body)))
                 add(c.id, match.derivations(c, sources, order, premises))
         for rule, function, needs in self.specials:
-            if all(k in present for k in needs):
-                add(rule, function(every, lists))
+            if all(k in present for k in needs):  # over everything at first and where its own axioms are new, else over what is new
+                add(rule, function(every, lists, None if old is None or fresh.intersection(needs) else new))
         for r in self.rules:
             add(r.id, r.apply(every, new))
         return out
