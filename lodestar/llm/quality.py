@@ -4,7 +4,7 @@ Terms are words and word shapes (case, digits, trailing signs), plus a few marks
 (shares of distinct words and lines, of words that repeat the one before, of the commonest word), hashed to 2**BITS columns with weight log(1 + tf) * idf. A
 truncated SVD of the labelled sample gives RANK directions; the sample's unit vectors (at most
 SAMPLE of either class, a documented bound) are broadcast. Every document is projected, its cosines with all
-of them are computed in blocks, and its NEAREST neighbours vote with their similarity to the power SHARP;
+of them are computed in blocks, and its NEAREST neighbours vote with their similarity;
 classes weigh by their share in all labels.
 
 Defined results: an empty or null text has only the marks of an empty text and is scored like any other; a
@@ -28,7 +28,6 @@ BITS = 14
 SAMPLE = 1500
 RANK = 48
 NEAREST = 25
-SHARP = 8
 MODULUS, HELD = 3, 1
 BLOCK = 512
 #: A mark counts as so many occurrences of a term.
@@ -118,7 +117,7 @@ class Voters:
             e = np.stack([self.weigh(c, n) @ self.directions[c] for c, n in some])
             cosine = unit(e) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARP * self.weights[near]
+            w = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) * self.weights[near]
             mass = w.sum(1)
             out[b : b + len(some)] = np.where(mass > 1e-12, (w * self.labels[near]).sum(1) / np.maximum(mass, 1e-12), self.prior)
         return out.clip(0, 1)
