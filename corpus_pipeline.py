@@ -14,22 +14,28 @@ from lodestar.llm import common, decontamination, exact_dedup, mixing, ngram_joi
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is judged by its own text, whatever its doc_id; null and empty texts are those of the model's bias. Repeated rows go or stay alike."""
     return toxicity.drop_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null is empty) the row with the largest doc_id stays. Rows without a doc_id, and copies that share one, stay."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of similar texts the row with the least doc_id (null last) stays, of several texts with it the one of the least hash.
+    Rows of one doc_id and one text go or stay together; null texts and texts without words are like no other and stay."""
     return ngram_join.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is judged by its own text, whatever its doc_id; null texts stay, as all do where there is no benchmark."""
     return decontamination.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row of docs, in training order; null texts have size 0 and no copies, null sources are a source of their own."""
     d = mixing.mixed(docs)
     return d.orderBy("position", "ord").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
 
