@@ -109,10 +109,11 @@ class Reasoner:
             add(r.id, r.apply(every, new))
         return out
 
-    def derive(self, quads: DataFrame, source_graphs: Iterable[str] | None = None, stop_when: Column | None = None, premises: bool = True) -> tuple[DataFrame, DataFrame]:
+    def derive(self, quads: DataFrame, source_graphs: Iterable[str] | None = None, stop_when: Column | Callable[[DataFrame], bool] | None = None, premises: bool = True) -> tuple[DataFrame, DataFrame]:
         """(seeds with origin, derived triples with rule, round and premises).
 
-        stop_when: a condition on s, p, o; the fixpoint ends after the round that derives a match.
+        stop_when: a condition on s, p, o, or a function of what a round adds; the fixpoint ends after the round that derives
+        a match, or for which the function is true.
         """
         seeds = written(self._seeds(quads, source_graphs), "seeds")
         new = seeds.select(*KEY)
@@ -141,7 +142,7 @@ class Reasoner:
             while len(parts) > 1 and 2 * parts[-1][1] >= parts[-2][1]:  # parts shrink by half, so there are few
                 (a, m), (b, n) = parts[-2:]
                 parts[-2:] = [(written(a.unionByName(b), "triples"), m + n)]
-            if stop_when is not None and not new.where(stop_when).isEmpty():
+            if stop_when is not None and (not new.where(stop_when).isEmpty() if isinstance(stop_when, Column) else stop_when(new)):
                 break
         else:
             raise RuntimeError(f"no fixpoint after {self.most_rounds} rounds")
@@ -150,7 +151,7 @@ class Reasoner:
 
     # -- entry points
 
-    def infer(self, quads: DataFrame, source_graphs: Iterable[str] | None = None, stop_when: Column | None = None) -> DataFrame:
+    def infer(self, quads: DataFrame, source_graphs: Iterable[str] | None = None, stop_when: Column | Callable[[DataFrame], bool] | None = None) -> DataFrame:
         """s, p, o of all inferred triples, without source triples and axioms."""
         return self.derive(quads, source_graphs, stop_when, premises=False)[1].select(*KEY)
 
