@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.sources.shared import shared_dir
+from lodestar.sources.shared import gathered, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +45,16 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _setting = threading.RLock()
 
 
-def written(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, batch: int | None = None, rows: int | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
 
     The files survive the loss of executors; the owner of the shared folder clears it. batch: bytes that go
     to a Python worker at once, where rows are large and the session allows more. It is a setting of the session while
     df is planned and written, so such writes wait for each other; it changes how fast other queries are, not what they give.
+    rows: about how many rows come at most, where that is known; they go to few files (see gathered()).
     """
     spark = df.sparkSession
+    df = df if rows is None else gathered(df, rows)
     path = f"{shared_dir(spark)}/lodestar-{label}-{uuid.uuid4().hex}"
     if batch is None:
         df.write.option("compression", "zstd").parquet(path)

@@ -55,6 +55,8 @@ FLUSH = 500_000
 #: for eight bytes).
 FINE = 2
 BUCKET_BYTES = 8_000_000
+#: Tasks for each core that gather signatures, at least, if there are so many shuffle partitions.
+TASKS = 3
 #: Bytes of an Arrow batch of packed signatures, or of pairs of whole sets.
 BATCH = 8_000_000
 BROADCAST_ROWS = 500_000
@@ -332,7 +334,7 @@ def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     met = edges.join(sets.select(F.col("node").alias("v"), F.col("elements").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("elements").alias("su")), "u")
-    return common.written(met.select("u", "v", "su", "sv").transform(common.in_workers, run, "u long, v long"), "verified", BATCH)
+    return common.written(met.select("u", "v", "su", "sv").transform(common.in_workers, run, "u long, v long"), "verified", BATCH, edges.count())
 
 
 def rare_meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -357,7 +359,8 @@ def rare_meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
     a, b = (prefix.select(F.col("node").alias(e), F.col("size").alias(f"s{e}"), F.col("x").alias(f"x{e}"), F.col("place").alias(f"p{e}"), F.col("label").alias(f"l{e}")) for e in "uv")
     room = "7 * (1 + least(su - pu, sv - pv)) >= 3 * (su + sv)"
     met = a.join(b, F.expr(f"xu = xv AND u < v AND lu <> lv AND 4 * least(su, sv) >= 3 * greatest(su, sv) AND {room}"))
-    return met.select("u", "v").distinct()
+    # Few of the pairs of a shingle pass; if there are more than rows in the prefixes, the files are larger.
+    return common.written(met.select("u", "v").distinct(), "meetings", rows=prefix.count())
 
 
 def needing(members: DataFrame) -> DataFrame:
@@ -368,25 +371,28 @@ def needing(members: DataFrame) -> DataFrame:
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """members of groups that hold several components, twice over, of nodes that have as many as they need there."""
+    most = members.count()
     placed = members.join(labels, "node", "left").select("grp", "weight", "node", "need", F.coalesce("label", "node").alias("label"))
     for _ in range(2):  # a node that goes may settle a group; any number of turns is exact
         mixed = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
-        placed = common.written(needing(placed.join(mixed, "grp", "left_semi")), "unsettled")
+        placed = common.written(needing(placed.join(mixed, "grp", "left_semi")), "unsettled", rows=most)
     return placed
 
 
 def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     """labels (node, label) after the links found (u, v) between components and lone nodes."""
+    most = found.count()
     for e in ("u", "v"):
         found = found.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"label_{e}")), e, "left")
-    across = common.written(found.select(F.coalesce("label_u", "u").alias("a"), F.coalesce("label_v", "v").alias("b")).where("a <> b").distinct(), "across")
-    if across.isEmpty():
+    across = common.written(found.select(F.coalesce("label_u", "u").alias("a"), F.coalesce("label_v", "v").alias("b")).where("a <> b").distinct(), "across", rows=most)
+    links = across.count()
+    if not links:
         return labels
-    joint = connected_components(across)
+    joint = connected_components(across, rows=links)
     again = joint.select(F.col("node").alias("old"), F.col("label").alias("new"))
     moved = labels.join(again, labels["label"] == again["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
     alone = joint.join(labels.select("node"), "node", "left_anti").select("node", "label")
-    return common.written(moved.unionByName(alone), "labels")
+    return common.written(moved.unionByName(alone), "labels", rows=labels.count() + 2 * links)
 
 
 def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -400,16 +406,16 @@ def linked(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     centres = centres.select("grp", F.col("node").alias("centre"), F.col("own").alias("centre_own"), F.col("need").alias("centre_need"))
     stars = live.join(centres, "grp").where("node <> centre AND 4 * least(own, centre_own) >= 3 * greatest(own, centre_own)")
     edges = stars.groupBy("centre", "node").agg(F.sum("weight").alias("met"), F.max(F.greatest("need", "centre_need")).alias("need")).where("met >= need")
-    edges = common.written(edges.select(F.col("centre").alias("u"), F.col("node").alias("v")), "edges")
+    edges = common.written(edges.select(F.col("centre").alias("u"), F.col("node").alias("v")), "edges", rows=live.count())
 
     def ends(pairs: DataFrame) -> DataFrame:
         return nodes.join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi")
 
     links = verified(edges, sets_of(docs, ends(edges)))
-    labels = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    labels = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")), rows=links.count())
     rest = unsettled(live, labels).select("node").distinct()
     left = sets_of(docs, nodes.join(rest, "node", "left_semi").unionByName(nodes.where("slack < 0")).dropDuplicates(["node"]))
-    more = common.written(rare_meetings(left, labels), "meetings")
+    more = rare_meetings(left, labels)
     return labels if more.isEmpty() else merged(labels, verified(more, left))
 
 
@@ -417,13 +423,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sub, node, n_shingles) for every row of docs, and (node, label, component_id) for every node but the empty set's."""
     texts = documents(docs)
     parts = common.partitions(docs.sparkSession)
-    buckets = max(FINE * parts, common.text_bytes(texts) // BUCKET_BYTES)
+    size = common.text_bytes(texts)
+    buckets = max(FINE * parts, size // BUCKET_BYTES)
     sent = texts.transform(common.in_workers, send(buckets), "bucket int, kind int, data binary")
-    rows = sent.repartition(max(parts, buckets // FINE), "bucket").sortWithinPartitions("bucket").transform(common.in_workers, receive(buckets), ROWS)
+    dealt = sent.repartition(max(parts, buckets // FINE), "bucket").sortWithinPartitions("bucket")
+    # Where there are more partitions than the bytes and cores need, a task takes several one after another; a bucket stays together.
+    tasks = max(TASKS * docs.sparkSession.sparkContext.defaultParallelism, size // (FINE * BUCKET_BYTES) + 1)
+    rows = (dealt.coalesce(tasks) if tasks < parts else dealt).transform(common.in_workers, receive(buckets), ROWS)
     rows = common.written(rows, "signatures", BATCH)
     own = rows.where(f"kind = {NODE}").select(F.col("a").alias("doc_id"), F.col("b").alias("sub"), F.col("c").alias("node"), F.col("n").alias("n_shingles"), F.col("m").alias("slack"))
     nodes = own.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id") == NO_ID, "doc_id", "sub")).alias("first"), F.min("slack").alias("slack"), F.max("n_shingles").alias("size"))
-    nodes = common.written(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.sub").alias("sub"), "slack", "size"), "nodes")
+    nodes = common.written(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.sub").alias("sub"), "slack", "size"), "nodes", rows=own.count())
     lists = rows.where(f"kind = {LIST}").groupBy(F.col("a").alias("grp")).agg(F.count(F.lit(1)).alias("weight"), F.first("n").cast("long").alias("size"), F.first("members").alias("members"))
     spread = rows.where(f"kind = {SPREAD}").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
     sizes = spread.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

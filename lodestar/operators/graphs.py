@@ -22,15 +22,16 @@ def transitive_closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, label): the least node of each component, by label propagation with pointer jumping."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+def connected_components(edges: DataFrame, most_rounds: int = 64, rows: int | None = None) -> DataFrame:
+    """(node, label): the least node of each component, by label propagation with pointer jumping. rows: number of edges, if known."""
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", None if rows is None else 2 * rows)
+    most = both.count()  # of nodes
+    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels", most)
     for _ in range(most_rounds):
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
         lower = labels.join(heard, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         above = lower.select(F.col("node").alias("top"), F.col("label").alias("next"))
-        step = written(lower.join(above, F.col("label") == F.col("top")).select("node", "old", F.least("label", "next").alias("label")), "labels")
+        step = written(lower.join(above, F.col("label") == F.col("top")).select("node", "old", F.least("label", "next").alias("label")), "labels", most)
         labels = step.select("node", "label")
         if step.where("label <> old").isEmpty():
             return labels

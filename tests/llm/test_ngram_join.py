@@ -132,3 +132,38 @@ def test_keep_one_of_each_without_ids(spark):
     assert kept.columns == df.columns
     texts = sorted(x.text.lower() if x.text else str(x.text) for x in kept.collect())
     assert texts == sorted(["a b c d e f", "other text", "x y z u v w", "far from it", "", "None"])
+
+
+def test_small_intermediates_are_few_files(spark, monkeypatch, tmp_path):
+    """A file for each shuffle partition of every round costs executors a writer's buffers and three processes apiece."""
+    from lodestar.llm import common
+    from lodestar.sources import shared
+
+    for module in (common, shared):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{tmp_path}")
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rows = texts(7, 30, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.joined(df).collect()}
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows)
+    files = {}
+    for d in tmp_path.glob("lodestar-*"):
+        files.setdefault(d.name.split("-")[1], []).append(len(list(d.glob("part-*.parquet"))))
+    assert max(files["signatures"]) <= nj.TASKS * spark.sparkContext.defaultParallelism < 30
+    assert {"nodes", "edges", "labels", "verified", "unsettled"} <= files.keys()
+    assert {k: max(files[k]) for k in files.keys() & {"nodes", "edges", "labels", "verified", "unsettled", "across", "meetings"} if max(files[k]) > 1} == {}
+
+
+def test_gathered_keeps_large_tables_as_they_are(spark):
+    from lodestar.sources import shared
+
+    df = spark.range(0, 1000, 1, 7)
+    assert shared.gathered(df, 3 * shared.FILE_ROWS).rdd.getNumPartitions() == 3
+    assert shared.gathered(df, 4 * shared.FILE_ROWS) is df  # as many as the shuffle partitions
+    assert shared.gathered(df.where("id < 0"), 0).rdd.getNumPartitions() == 1
