@@ -47,15 +47,16 @@ def bindings(atom: Atom, relation: DataFrame) -> DataFrame:
     return found.select(*(F.col(c).alias(v[1:]) for v, c in seen.items()))
 
 
-def solutions(clause: Clause, relations: list[DataFrame]) -> DataFrame:
+def solutions(clause: Clause, relations: list[DataFrame], small: list[bool] | None = None) -> DataFrame:
     """All bindings of the body, relations giving one source for each atom; the first atom starts the join.
 
     Guards are applied as soon as their variables are bound, so that pairs meet their inequality in
-    the join itself.
+    the join itself. small: which relations have a bounded number of matches. These join before others, else facts would meet facts of all
+    predicates before the schema says which count, and are broadcast, else facts would be dealt out by their predicate.
     """
-    todo = list(zip(clause.body, relations, strict=True))
+    todo = list(zip(clause.body, relations, small or [False] * len(relations), strict=True))
     guards = list(clause.guards)
-    atom, relation = todo.pop(0)
+    atom, relation, light = todo.pop(0)
     found, known = bindings(atom, relation), set(atom.variables)
 
     def guarded(df: DataFrame) -> DataFrame:
@@ -66,20 +67,26 @@ def solutions(clause: Clause, relations: list[DataFrame]) -> DataFrame:
 
     found = guarded(found)
     while todo:
-        at = max(range(len(todo)), key=lambda i: (len(todo[i][0].variables & known), -i))
-        atom, relation = todo.pop(at)
+        common_of = lambda i: len(todo[i][0].variables & known)
+        at = max(range(len(todo)), key=lambda i: (todo[i][2] and common_of(i) > 0, common_of(i), -i))
+        atom, relation, few = todo.pop(at)
         common = sorted(v[1:] for v in atom.variables & known)
         more = bindings(atom, relation)
+        if few:
+            more = F.broadcast(more)
+        elif light:
+            found = F.broadcast(found)
+        light = False
         found = found.join(more, common) if common else found.crossJoin(more)  # only prp-rflx: its result is the product
         known |= atom.variables
         found = guarded(found)
     return found
 
 
-def derivations(clause: Clause, relations: list[DataFrame], order: list[int], premises: bool) -> DataFrame:
+def derivations(clause: Clause, relations: list[DataFrame], order: list[int], premises: bool, small: list[bool] | None = None) -> DataFrame:
     """s, p, o of every head, and the matched triples if asked for; order puts body atoms in the order of relations."""
     body = tuple(clause.body[i] for i in order)
-    found = solutions(Clause(clause.id, body, clause.guards, clause.heads, clause.text), [relations[i] for i in order])
+    found = solutions(Clause(clause.id, body, clause.guards, clause.heads, clause.text), [relations[i] for i in order], small and [small[i] for i in order])
     why = F.array(*(F.struct(*(value(t).alias(c) for t, c in zip(a.terms, TRIPLE, strict=True))) for a in clause.body if not a.is_list)).cast(PREMISES).alias("premises")
     head = lambda h: F.struct(*(value(t).alias(c) for t, c in zip(h, TRIPLE, strict=True)))
     if len(clause.heads) == 1:

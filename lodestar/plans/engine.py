@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.terms import FALSE, TYPE
+from lodestar.functions.terms import FALSE, SAME, TYPE, is_literal
 from lodestar.operators import lists as collections
 from lodestar.operators import match, special
 from lodestar.plans import rules as owl
@@ -26,6 +26,15 @@ from lodestar.sources.shared import written
 TRIPLES = "s string, p string, o string"
 DERIVED = f"{TRIPLES}, rule string, round int, premises {match.PREMISES}"
 KEY = ["s", "p", "o"]
+#: Rules for which x owl:sameAs x adds nothing, and the key of what does: pairs of different terms.
+PROPER, PAIRS = frozenset({"eq-sym", "eq-trans", "eq-rep-s", "eq-rep-o"}), f"different {SAME}"
+#: Keys of literal objects and of typed literals, and the special rules that need them.
+OBJECTS, TYPED = "literal objects", "typed literals"
+LITERAL_RULES = {"dt-type2": OBJECTS, "dt-not-type": TYPED, "dt-eq": TYPED, "dt-diff": TYPED}
+#: So many triples of a constant are small: joined first and broadcast.
+SMALL = 10_000
+#: So many derivations make one job: the driver holds a job's plan again for each stage that ends, so it must not grow with the rules.
+BATCH = 12
 
 
 @dataclass(frozen=True)
@@ -72,15 +81,29 @@ class Reasoner:
 
     # -- one round
 
-    def _present(self, triples: DataFrame) -> set[str]:
-        """Which of the rules' constants occur: at most as many rows as the vocabulary has."""
+    def _present(self, triples: DataFrame) -> dict[str, int]:
+        """How many triples each of the rules' constants has: at most as many rows as the vocabulary has."""
         classes = [k[2:] for k in self.constants if k.startswith("a ")]
         predicates = [k for k in self.constants if not k.startswith("a ")]
-        typed = triples.where((F.col("p") == TYPE) & F.col("o").isin(classes)).select(F.concat(F.lit("a "), "o").alias("k"))
-        named = triples.where(F.col("p").isin(predicates)).select(F.col("p").alias("k"))
-        return {r[0] for r in typed.union(named).distinct().collect()}
-
-    def _candidates(self, old: DataFrame | None, new: DataFrame, every: DataFrame, lists: DataFrame, present: set[str], fresh: set[str], premises: bool) -> list[DataFrame]:
+        is_type, none = F.col("p") == TYPE, F.lit(None).cast("string")
+        keys = F.array(
+            F.when(is_type & F.col("o").isin(classes), F.concat(F.lit("a "), "o")).otherwise(none),
+            F.when(F.col("p").isin(predicates), F.col("p")).otherwise(none),
+            F.when((F.col("p") == SAME) & (F.col("s") != F.col("o")), F.lit(PAIRS)).otherwise(none),
+            F.when(is_literal(F.col("o")), F.lit(OBJECTS)).otherwise(none),
+            F.when(is_literal(F.col("s")) & is_type, F.lit(TYPED)).otherwise(none),
+        )
+        return {r.k: r.n for r in triples.select(F.explode(keys).alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def _small(self, triples: DataFrame, present: dict[str, int]) -> DataFrame:
+        """The triples of constants that are small so far; a constant that was small once has all of its earlier triples here."""
+        few = [k for k in self.constants if present.get(k, 0) <= SMALL]
+        classes = [k[2:] for k in few if k.startswith("a ")]
+        found = triples.where(F.col("p").isin([k for k in few if not k.startswith("a ")]) | (F.col("p") == TYPE) & F.col("o").isin(classes))
+        return written(found, "schema", min(SMALL * len(few), sum(present.get(k, 0) for k in few)))
+
+    def _candidates(self, old: DataFrame | None, new: DataFrame, every: DataFrame, lists: DataFrame, present: dict[str, int], fresh: dict[str, int], premises: bool, schema: tuple) -> list[DataFrame]:
+        """schema: of old, new and every, the triples of small constants."""
         out = []
 
         def add(rule: str, df: DataFrame) -> None:
@@ -91,20 +114,29 @@ class Reasoner:
             out.append(df.select(*columns))
 
         for c in self.clauses:
-            if any(a.needs and a.needs not in present for a in c.body):
+            needs = [PAIRS if a.needs == SAME and c.id in PROPER else a.needs for a in c.body]
+            if any(k and k not in present for k in needs):
                 continue
+            small = [bool(a.needs) and present.get(a.needs, 0) <= SMALL for a in c.body]
+
+            def source(i: int, age: int, c=c, needs=needs, small=small) -> DataFrame:
+                found = (schema if small[i] else (old, new, every))[age]
+                return found.where("s <> o") if needs[i] == PAIRS else found
+
             triples = [i for i, a in enumerate(c.body) if not a.is_list]
             turns = triples if old is not None else triples[:1]
             for turn in turns:
-                if c.body[turn].needs and c.body[turn].needs not in fresh:
+                if needs[turn] and needs[turn] not in fresh:
                     continue
-                sources = [lists if a.is_list else every if old is None else old if i < turn else new if i == turn else every for i, a in enumerate(c.body)]
+                sources = [lists if a.is_list else source(i, 2 if old is None else 0 if i < turn else 1 if i == turn else 2) for i, a in enumerate(c.body)]
                 # Small schema patterns start; the rest joins to them. In later rounds what is new starts.
                 order = [turn, *(i for i in range(len(c.body)) if i != turn)] if old is not None else list(range(len(c.body)))
-                add(c.id, match.derivations(c, sources, order, premises))
+                add(c.id, match.derivations(c, sources, order, premises, small))
         for rule, function, needs in self.specials:
+            if rule in LITERAL_RULES and LITERAL_RULES[rule] not in present:
+                continue
             if all(k in present for k in needs):  # over everything at first and where its own axioms are new, else over what is new
-                add(rule, function(every, lists, None if old is None or fresh.intersection(needs) else new))
+                add(rule, function(every, lists, None if old is None or fresh.keys() & set(needs) else new))
         for r in self.rules:
             add(r.id, r.apply(every, new))
         return out
@@ -119,15 +151,19 @@ class Reasoner:
         new = seeds.select(*KEY)
         lists = collections.list_table(new) if any(a.is_list for c in self.clauses for a in c.body) or self.specials else self.spark.createDataFrame([], collections.SCHEMA)
         old, parts, derived = None, [(new, seeds.count())], []
-        present: set[str] = set()
+        present: dict[str, int] = {}
+        schema = None
         for number in range(1, self.most_rounds + 1):
             every = reduce(DataFrame.unionByName, (d for d, _ in parts))
             fresh = self._present(new)
-            present |= fresh
-            found = self._candidates(old, new, every, lists, present, fresh, premises)
+            present = {k: present.get(k, 0) + fresh.get(k, 0) for k in present | fresh}
+            added_schema = self._small(new, present)
+            schema = (schema and schema[2], added_schema, self._small(schema[2].unionByName(added_schema), present) if schema else added_schema)
+            found = self._candidates(old, new, every, lists, present, fresh, premises, schema)
             if not found:
                 break
-            union = reduce(DataFrame.unionByName, found)
+            batches = [reduce(DataFrame.unionByName, found[i : i + BATCH]) for i in range(0, len(found), BATCH)]
+            union = batches[0] if len(batches) == 1 else reduce(DataFrame.unionByName, (written(b, "candidates") for b in batches))
             if premises:
                 best = union.groupBy(*KEY).agg(F.min(F.struct("priority", "premises", "rule")).alias("b")).select(*KEY, "b.rule", F.lit(number).alias("round"), "b.premises")
             else:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lodestar.functions.terms import FALSE, SAME, TYPE, literal, name
-from lodestar.plans import rules
+from lodestar.operators import match
+from lodestar.plans import engine, rules
 from lodestar.plans.engine import OwlRlReasoner, Reasoner, Rule
 
 QUADS = "s string, p string, o string, g string"
@@ -113,3 +114,28 @@ def test_standard_reasoner(spark):
     assert (name("owl:Thing"), name("rdfs:subClassOf"), name("owl:Thing")) in found
     assert "eq-ref" not in {c.id for c in OwlRlReasoner(spark, equality_ref=False).clauses}
     assert OwlRlReasoner(spark).axioms().count() == 75
+
+
+def test_facts_meet_the_schema_before_each_other(spark, monkeypatch):
+    # Spokes of a hub by a symmetric property: only the transitive one may pair facts, else pairs grow with the square.
+    near, within = "<near>", "<within>"
+    spokes = [(f"<n{i}>", near, "<hub>") for i in range(5)]
+    q = quads(spark, *spokes, (near, TYPE, name("owl:SymmetricProperty")), (A, within, B), (B, within, C), (within, TYPE, name("owl:TransitiveProperty")))
+    met, bindings = [], match.bindings
+    monkeypatch.setattr(match, "bindings", lambda atom, relation: met.append(atom.terms) or bindings(atom, relation))
+    out = rows(Reasoner(spark, clauses("prp-symp", "prp-trp")).infer(q, ["<g>"]))
+    assert out == {(o, p, s) for s, p, o in spokes} | {(A, within, C)}
+    fact, second = ("?x", "?p", "?y"), ("?y", "?p", "?z")
+    pairs = [i for i in range(len(met) - 1) if met[i : i + 2] == [fact, second]]
+    assert second in met and all(met[i - 1][-1] == name("owl:TransitiveProperty") for i in pairs)
+
+
+def test_jobs_do_not_grow_with_the_rules(spark, monkeypatch):
+    monkeypatch.setattr(engine, "BATCH", 2)
+    sizes, written = [], engine.written
+    monkeypatch.setattr(engine, "written", lambda df, label, rows=None: sizes.append(df._jdf.queryExecution().analyzed().toString().count("Join ")) or written(df, label, rows))
+    sub = name("rdfs:subClassOf")
+    q = quads(spark, (A, sub, B), (B, sub, C), (C, sub, D), (P, name("rdfs:domain"), A), ("<x>", P, "<y>"))
+    out = rows(Reasoner(spark, clauses("scm-sco", "cax-sco", "prp-dom", "scm-dom1", "scm-eqc2")).infer(q, ["<g>"]))
+    assert {(A, sub, D), ("<x>", TYPE, D), (P, name("rdfs:domain"), D)} <= out
+    assert max(sizes) <= 4
