@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestar.sources.shared import written
 
+#: Shares of a clique whose pairs are made in tasks of their own.
+SALTS = 16
+
 
 def transitive_closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(a, b) for every path from a to b, by doubling: paths meet paths, so rounds grow with the log of the longest."""
@@ -44,5 +47,8 @@ def same_as_pairs(same: DataFrame) -> DataFrame:
     The closure of equality without pairwise iteration; only the result itself is quadratic in a clique.
     """
     labels = connected_components(same.where("s <> o").select(F.col("s").alias("a"), F.col("o").alias("b")))
-    other = labels.select(F.col("node").alias("o"), "label")
-    return labels.join(other, "label").where("node <> o").select(F.col("node").alias("s"), "o")
+    # The members are few beside their pairs: the left ones are dealt out, so that no task makes all pairs of a clique.
+    parts = int(same.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).repartition(parts, "label", "salt")
+    right = labels.select(F.col("node").alias("o"), "label", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).repartition(parts, "label", "salt")
+    return left.join(right, ["label", "salt"]).where("node <> o").select(F.col("node").alias("s"), "o")

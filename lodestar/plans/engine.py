@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.terms import FALSE, SAME, TYPE, is_literal
 from lodestar.operators import lists as collections
-from lodestar.operators import match, special
+from lodestar.operators import graphs, match, special
 from lodestar.plans import rules as owl
 from lodestar.plans.axioms import axioms as owl_axioms
 from lodestar.sources.shared import written
@@ -28,6 +28,8 @@ DERIVED = f"{TRIPLES}, rule string, round int, premises {match.PREMISES}"
 KEY = ["s", "p", "o"]
 #: Rules for which x owl:sameAs x adds nothing, and the key of what does: pairs of different terms.
 PROPER, PAIRS = frozenset({"eq-sym", "eq-trans", "eq-rep-s", "eq-rep-o"}), f"different {SAME}"
+#: The rules that close equality; without provenance components do it, since joins meet k * k * k times in a clique of k terms.
+EQUALITY = frozenset({"eq-sym", "eq-trans"})
 #: Keys of literal objects and of typed literals, and the special rules that need them.
 OBJECTS, TYPED = "literal objects", "typed literals"
 LITERAL_RULES = {"dt-type2": OBJECTS, "dt-not-type": TYPED, "dt-eq": TYPED, "dt-diff": TYPED}
@@ -102,8 +104,8 @@ class Reasoner:
         found = triples.where(F.col("p").isin([k for k in few if not k.startswith("a ")]) | (F.col("p") == TYPE) & F.col("o").isin(classes))
         return written(found, "schema", min(SMALL * len(few), sum(present.get(k, 0) for k in few)))
 
-    def _candidates(self, old: DataFrame | None, new: DataFrame, every: DataFrame, lists: DataFrame, present: dict[str, int], fresh: dict[str, int], premises: bool, schema: tuple) -> list[DataFrame]:
-        """schema: of old, new and every, the triples of small constants."""
+    def _candidates(self, old: DataFrame | None, new: DataFrame, every: DataFrame, lists: DataFrame, present: dict[str, int], fresh: dict[str, int], premises: bool, schema: tuple, by_components: bool = False) -> list[DataFrame]:
+        """schema: of old, new and every, the triples of small constants. by_components: how equality is closed."""
         out = []
 
         def add(rule: str, df: DataFrame) -> None:
@@ -113,7 +115,11 @@ class Reasoner:
                 columns += [F.lit(owl.PRIORITY.get(rule, 1000)).alias("priority"), F.lit(rule).alias("rule"), why.cast(match.PREMISES).alias("premises")]
             out.append(df.select(*columns))
 
+        if by_components and PAIRS in fresh:
+            add("eq-trans", graphs.same_as_pairs(every.where(F.col("p") == SAME)).select("s", F.lit(SAME).alias("p"), "o"))
         for c in self.clauses:
+            if by_components and c.id in EQUALITY:
+                continue
             needs = [PAIRS if a.needs == SAME and c.id in PROPER else a.needs for a in c.body]
             if any(k and k not in present for k in needs):
                 continue
@@ -153,13 +159,16 @@ class Reasoner:
         old, parts, derived = None, [(new, seeds.count())], []
         present: dict[str, int] = {}
         schema = None
+        ids = {c.id for c in self.clauses}
+        by_components = not premises and stop_when is None and ids >= EQUALITY
+        only_equality = by_components and ids == EQUALITY and not self.specials and not self.rules
         for number in range(1, self.most_rounds + 1):
             every = reduce(DataFrame.unionByName, (d for d, _ in parts))
             fresh = self._present(new)
             present = {k: present.get(k, 0) + fresh.get(k, 0) for k in present | fresh}
             added_schema = self._small(new, present)
             schema = (schema and schema[2], added_schema, self._small(schema[2].unionByName(added_schema), present) if schema else added_schema)
-            found = self._candidates(old, new, every, lists, present, fresh, premises, schema)
+            found = self._candidates(old, new, every, lists, present, fresh, premises, schema, by_components)
             if not found:
                 break
             batches = [reduce(DataFrame.unionByName, found[i : i + BATCH]) for i in range(0, len(found), BATCH)]
@@ -173,6 +182,8 @@ class Reasoner:
             if not size:
                 break
             derived.append(added)
+            if only_equality:  # closed in one round
+                break
             new, old = added.select(*KEY), every
             parts.append((new, size))
             while len(parts) > 1 and 2 * parts[-1][1] >= parts[-2][1]:  # parts shrink by half, so there are few

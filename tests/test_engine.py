@@ -139,3 +139,16 @@ def test_jobs_do_not_grow_with_the_rules(spark, monkeypatch):
     out = rows(Reasoner(spark, clauses("scm-sco", "cax-sco", "prp-dom", "scm-dom1", "scm-eqc2")).infer(q, ["<g>"]))
     assert {(A, sub, D), ("<x>", TYPE, D), (P, name("rdfs:domain"), D)} <= out
     assert max(sizes) <= 4
+
+
+def test_equality_closes_by_components(spark, monkeypatch):
+    # A chain takes log rounds and k * k * k meetings by joins; by components its clique comes in one round.
+    chain = [(f"<n{i:02}>", SAME, f"<n{i + 1:02}>") for i in range(12)]
+    r = Reasoner(spark, clauses("eq-sym", "eq-trans"), most_rounds=1)
+    every = {(f"<n{i:02}>", SAME, f"<n{j:02}>") for i in range(13) for j in range(13) if i != j}
+    assert rows(r.infer(quads(spark, *chain, (A, SAME, A)), ["<g>"])) == every - set(chain)
+    # Pairs that other rules add later join what is closed.
+    fun = name("owl:FunctionalProperty")
+    more = Reasoner(spark, clauses("eq-sym", "eq-trans", "prp-fp", "eq-rep-s"))
+    out = rows(more.infer(quads(spark, (A, SAME, B), (P, TYPE, fun), (A, P, C), (B, P, D), (D, SAME, "<e>")), ["<g>"]))
+    assert {(C, SAME, D), (C, SAME, "<e>"), ("<e>", SAME, C), (B, P, C), (B, SAME, A)} <= out
